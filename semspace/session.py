@@ -1,7 +1,30 @@
 """Session defaults used by the benchmark and the tests."""
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of ``spark`` (once per application)."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="semspace-code-"), "semspace.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, files in os.walk(root):
+                for name in files:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.join("semspace", os.path.relpath(path, root)))
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
+    return spark
+
 
 def build_session(app: str = "semspace", master: str = "local[*]", shuffle_partitions: int = 8,
                   driver_memory: str = "8g", **conf: str) -> SparkSession:
@@ -21,4 +44,4 @@ def build_session(app: str = "semspace", master: str = "local[*]", shuffle_parti
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
