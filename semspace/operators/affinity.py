@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrow import batches, matrix, unit_rows, vector_column
 from .nearest import _arrow_type
-from .small import MAX_DIMENSION_BYTES, load_dimension
+from .small import MAX_DIMENSION_BYTES, load_dimension, small_broadcast
 
 STD_EPSILON = 1e-6
 RANGE_EPSILON = 1e-6
@@ -164,7 +164,7 @@ def top_anchors(z: DataFrame, n: int = 3, item_id: str = "item_id") -> DataFrame
 
 def group_membership(anchors: DataFrame, groups: DataFrame) -> DataFrame:
     """Group index of every anchor, -1 where the key names no group."""
-    known = F.broadcast(groups.select("group_key", "group_idx"))
+    known = small_broadcast(groups.select("group_key", "group_idx"))
     return (anchors.join(known, "group_key", "left")
             .withColumn("group_idx", F.coalesce(F.col("group_idx"), F.lit(-1)).cast("int")))
 
@@ -176,7 +176,7 @@ def group_affinity(z: DataFrame, members: DataFrame, groups: DataFrame,
     held = members.where(F.col("group_idx") >= 0).groupBy("group_idx").agg(
         F.sort_array(F.collect_list(F.col("anchor_idx").cast("int"))).alias("anchors"))
     lists = (groups.select(F.col("group_idx").cast("int").alias("group_idx"))
-             .join(F.broadcast(held), "group_idx", "left")
+             .join(held, "group_idx", "left")
              .withColumn("anchors", F.coalesce("anchors", F.array().cast("array<int>"))))
 
     def mean(g: Column) -> Column:

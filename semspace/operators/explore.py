@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.text import item_url, space_case
+from ..sources.storage import materialize
 from .compose import element_key
-from .skew import salted_lookup
+from .skew import HOT_ROWS, hot_keys, salted_lookup
+from .small import small_broadcast
 
 ITEM_URL = "https://example.org/items/"
 AXES = ("map1", "map2", "map3", "pop", "score", "cluster", "film", "tv", "lit", "flat")
@@ -57,14 +59,13 @@ def discovery_progress(found: DataFrame, kind: str = "genre") -> DataFrame:
 
 def dimension_lookup(items: DataFrame, dimension: DataFrame, key: str,
                      columns: Sequence[str] = ("label", "color")) -> DataFrame:
-    """Label and colour of each item's group or kind; a grey and no label where there is none.
-    The dimension is a legend of a few rows, checked by Spark's own broadcast threshold."""
-    out = salted_lookup(items, dimension.select(key, *columns), key)
+    """Label and colour of each item's group or kind; a grey and no label where there is none."""
+    out = items.join(small_broadcast(dimension.select(key, *columns)), key, "left")
     return out.withColumns({"label": F.coalesce("label", F.lit("")),
                             "color": F.coalesce("color", F.lit(S.DEFAULT_COLOR))})
 
 
-def neighbor_edges(points: DataFrame, base_url: str = ITEM_URL, hot_rows: int = 1_000_000) -> DataFrame:
+def neighbor_edges(points: DataFrame, base_url: str = ITEM_URL, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per neighbour link with both ends' positions: the source's columns travel with the
     exploded list, the target's come by one look-up (popular targets are salted).
 
@@ -80,24 +81,30 @@ def neighbor_edges(points: DataFrame, base_url: str = ITEM_URL, hot_rows: int =
 
 
 def recipe_lookup(requests: DataFrame, recipes: DataFrame, names: DataFrame, discoveries: DataFrame,
-                  hot_rows: int = 1_000_000) -> DataFrame:
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Both parents of each requested item with their names, and whether the user has them.
 
     ``requests``: (user_id, item_idx); ``names``: (key, name) of seeds and items."""
     rows = salted_lookup(requests, recipes.select("item_idx", "a_kind", "a_idx", "b_kind", "b_idx"),
                          "item_idx", "left", hot_rows)
-    owned = F.concat_ws("|", F.col("user_id").cast("string"), F.concat(F.lit("i"), F.col("item_idx").cast("string")))
-    found = discoveries.select(owned.alias("_owned"), F.lit(True).alias("_f")).distinct()
+    user = F.col("user_id").cast("string")
     for side in ("a", "b"):
-        key = f"{side}_key"
-        rows = rows.withColumn(key, F.when(F.col(f"{side}_kind").isNotNull(), element_key(
-            F.col(f"{side}_kind"), F.col(f"{side}_idx"))))
-        rows = salted_lookup(rows, names.select(F.col("key").alias(key), F.col("name").alias(f"{side}_name")),
-                             key, "left", hot_rows)
-        rows = rows.withColumn("_owned", F.concat_ws("|", F.col("user_id").cast("string"), F.col(key)))
-        rows = salted_lookup(rows, found, "_owned", "left", hot_rows).drop("_owned")
+        key = F.when(F.col(f"{side}_kind").isNotNull(),
+                     element_key(F.col(f"{side}_kind"), F.col(f"{side}_idx")))
+        rows = rows.withColumn(f"{side}_key", key).withColumn(f"{side}_owned", F.concat(
+            user, F.lit("|"), F.col(f"{side}_key")))
+    rows = materialize(rows, "recipes")  # its keys are counted below
+    owned = F.concat(user, F.lit("|i"), F.col("item_idx").cast("string"))
+    found = discoveries.select(owned.alias("owned")).distinct()
+    hot = {key: hot_keys(rows, key, hot_rows) for key in ("a_key", "b_key", "a_owned", "b_owned")}
+    for side in ("a", "b"):
+        name, mine = f"{side}_key", f"{side}_owned"
+        rows = salted_lookup(rows, names.select(F.col("key").alias(name), F.col("name").alias(f"{side}_name")),
+                             name, hot=hot[name])
+        rows = salted_lookup(rows, found.select(F.col("owned").alias(mine), F.lit(True).alias("_f")),
+                             mine, hot=hot[mine])
         rows = rows.withColumn(f"{side}_have", F.when(
-            F.col(key).isNotNull(), (F.col(f"{side}_kind") == 0) | F.coalesce("_f", F.lit(False)))).drop("_f")
+            F.col(name).isNotNull(), (F.col(f"{side}_kind") == 0) | F.coalesce("_f", F.lit(False)))).drop("_f")
     return rows.select("user_id", "item_idx", "a_key", "a_name", "a_have", "b_key", "b_name", "b_have")
 
 

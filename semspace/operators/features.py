@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import MEDIA, dominant, share
 from ..functions.text import try_number
 from .clean import keep_first
-from .skew import salted_lookup
+from .skew import HOT_ROWS, salted_lookup
 
 
 def count_by_key(df: DataFrame, key: str, count: str = "n") -> DataFrame:
@@ -54,7 +54,7 @@ def first_scores(scores: DataFrame) -> DataFrame:
 
 
 def name_score_lookup(items: DataFrame, scores: DataFrame, column: str = "gender_ratio",
-                      hot_rows: int = 1_000_000) -> DataFrame:
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
     lookup = first_scores(scores).withColumnRenamed("score", column)
     return salted_lookup(items, lookup, "name", "left", hot_rows)
 

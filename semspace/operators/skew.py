@@ -4,29 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_KEYS = 4096
+HOT_ROWS = 1_000_000
+
+
+def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[tuple]:
+    """(key, number of salts) of the at most 4096 most frequent keys above ``hot_rows`` rows.
+
+    Any key left out holds at most 1/4096 of the rows. Counting is combined before its shuffle and
+    reads the key column only.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    top = counts.where(F.col("count") > hot_rows).orderBy(F.desc("count")).limit(HOT_KEYS)
+    return [(row[key], -(-row["count"] // hot_rows)) for row in top.collect()]
 
 
 def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                  hot_rows: int = 1_000_000) -> DataFrame:
+                  hot_rows: int = HOT_ROWS, hot: list[tuple] | None = None) -> DataFrame:
     """Join ``rows`` to ``lookup`` (unique on ``key``), splitting hot keys into salts.
 
-    A key is hot above both ``hot_rows`` rows and 1/4096 of all rows, so there are at most 4096
-    of them, which is what bounds the broadcast side. Only their look-up rows are repeated.
+    Only the look-up rows of hot keys are repeated, once per salt. Without hot keys this is the
+    plain join. ``hot``: the result of ``hot_keys`` when it is known already.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
-    threshold = F.greatest(F.lit(hot_rows), (total / HOT_KEYS).cast("long"))
-    hot = (counts.where(F.col("count") > threshold)
-           .select(key, F.ceil(F.col("count") / threshold).cast("int").alias("_salts")))
-    hot = F.broadcast(hot)
-    salted_rows = (rows.join(hot, key, "left")
-                   .withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(
-                       F.xxhash64(*rows.columns), F.col("_salts")).cast("int")).otherwise(0))
-                   .drop("_salts"))
-    salted_lookup_rows = (lookup.join(hot, key, "left")
-                          .withColumn("_salt", F.explode(F.sequence(
-                              F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-                          .drop("_salts"))
-    return salted_rows.join(salted_lookup_rows, [key, "_salt"], how).drop("_salt")
+    hot = hot_keys(rows, key, hot_rows) if hot is None else hot
+    if not hot:
+        return rows.join(lookup, key, how)
+    salts = F.broadcast(rows.sparkSession.createDataFrame(  # at most 4096 rows
+        hot, T.StructType([rows.schema[key], T.StructField("_salts", T.LongType())])))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce(F.col("_salts"), F.lit(1)))
+    left = rows.join(salts, key, "left").withColumn("_salt", salt).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    right = lookup.join(salts, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import matrix
 
 MAX_DIMENSION_BYTES = 64 << 20
+MAX_BROADCAST_ROWS = 100_000
 
 
 def vector_bytes(df: DataFrame, vec: str = "v") -> tuple[int, int]:
@@ -26,3 +27,9 @@ def load_dimension(df: DataFrame, index: str, vec: str = "v",
     ids = table["idx"].to_numpy()
     order = np.argsort(ids, kind="stable")
     return ids[order], matrix(table["v"])[order] if len(ids) else np.empty((0, 0))
+
+
+def small_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Mark a legend for broadcast if it has at most ``max_rows`` rows; otherwise leave the choice
+    of join to Spark."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

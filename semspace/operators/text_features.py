@@ -8,8 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,18 +122,68 @@ class Lsa:
     singular_values: np.ndarray
 
 
-def fit_lsa(sparse: DataFrame, terms: int, dim: int) -> Lsa:
-    """Truncated SVD of the (uncentred) weights, ``dim`` at most terms - 1."""
+def _gram_times(sparse: DataFrame, q: np.ndarray) -> np.ndarray:
+    """X'X q for the sparse rows X: one pass, each task adding up its own rows.
+
+    The partial sums travel in ranges of terms, summed in two rounds so that no group holds more
+    than about the square root of the number of tasks.
+    """
+    held = sparse.sparkSession.sparkContext.broadcast(q)
+    width = q.shape[1]
+    span = max(1, (1 << 20) // (8 * width))  # terms per range, about 1 MB
+
+    def partial(incoming):
+        from pyspark import TaskContext
+
+        q = held.value
+        total = np.zeros(q.shape)
+        for batch in incoming:
+            rows, terms = ragged(batch.column("indices"))
+            weights = batch.column("values").flatten().to_numpy(zero_copy_only=False)
+            bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
+                at, w = terms[start:stop], weights[start:stop]
+                total[at] += w[:, None] * (w @ q[at])
+        task = TaskContext.get().partitionId()
+        starts = [s for s in range(0, len(total), span) if total[s:s + span].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(starts, pa.int32()), pa.array([task] * len(starts), pa.int32()),
+             pa.array([total[s:s + span].tobytes() for s in starts], pa.binary())],
+            names=["range", "task", "block"])
+
+    def add(key, group):
+        total = sum(np.frombuffer(b.as_py()) for b in group["block"])
+        return pa.table({"range": pa.array([key[0].as_py()], pa.int32()),
+                         "task": pa.array([0], pa.int32()), "block": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "range int, task int, block binary"
+    parts = sparse.select("indices", "values").mapInArrow(partial, schema)
+    level = F.floor(F.sqrt(F.col("task"))).cast("int")
+    parts = parts.withColumn("task", level).groupBy("range", "task").applyInArrow(add, schema)
+    out = np.zeros(q.shape)
+    for row in parts.groupBy("range").applyInArrow(add, schema).collect():
+        block = np.frombuffer(row["block"]).reshape(-1, width)
+        out[row["range"]:row["range"] + len(block)] = block
+    return out
+
+
+def fit_lsa(sparse: DataFrame, terms: int, dim: int, passes: int = 6, oversample: int = 10,
+            seed: int = 42) -> Lsa:
+    """Truncated SVD of the (uncentred) weights by randomised subspace iteration, ``dim`` at most
+    terms - 1. Each pass reads the rows once; what reaches the driver is (terms x dim), bounded by
+    the vocabulary cap."""
     dim = max(1, min(dim, terms - 1))
-    rows = sparse.select("indices", "values").rdd.map(
-        lambda r: Vectors.sparse(terms, r["indices"], r["values"])).persist()
-    try:
-        svd = RowMatrix(rows, numCols=terms).computeSVD(dim)
-        axes = svd.V.toArray()
-        signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
-        return Lsa(axes * np.where(signs == 0, 1, signs), svd.s.toArray())
-    finally:
-        rows.unpersist()
+    width = min(terms, dim + oversample)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
+    for at in range(passes):
+        z = _gram_times(sparse, q)
+        if at < passes - 1:
+            q = np.linalg.qr(z)[0]
+    values, vectors = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+    top = np.argsort(-values)[:dim]
+    axes = q @ vectors[:, top]
+    signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+    return Lsa(axes * np.where(signs == 0, 1, signs), np.sqrt(np.maximum(values[top], 0)))
 
 
 def lsa_scores(sparse: DataFrame, fitted: Lsa, key: str = "doc_id") -> DataFrame:
