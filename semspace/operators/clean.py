@@ -61,14 +61,16 @@ def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def dense_index(df: DataFrame, order: Sequence[str], index: str = "idx",
-                small_rows: int = SMALL_INDEX_ROWS) -> DataFrame:
-    """Add a dense 0-based row index in ``order`` (which must be a total order).
+                small_rows: int = SMALL_INDEX_ROWS, rows: int | None = None) -> DataFrame:
+    """Add a dense 0-based row index in ``order`` (which must be a total order). ``rows``: the
+    number of rows when it is known, which saves counting them.
 
     Up to ``small_rows`` rows a plain window does it. Beyond, the rows are range-sorted across
     tasks and each gets its position within the task plus the rows of the tasks before.
     """
-    head = df.limit(small_rows + 1).count()
-    if head <= small_rows:
+    if rows is None:
+        rows = df.limit(small_rows + 1).count()
+    if rows <= small_rows:
         position = F.row_number().over(Window.orderBy(*order)) - 1
         return df.withColumn(index, position.cast("long"))
     placed = materialize(

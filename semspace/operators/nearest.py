@@ -79,9 +79,13 @@ class NearestIndex:
                     [batch.column(qid).take(pa.array(rows)).cast(target.field(0).type),
                      pa.array(found), pa.array(value), pa.array(rank)], schema=target)
 
-        parallel = max(self.spark.sparkContext.defaultParallelism,
-                       int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return queries.repartition(parallel, qid).mapInArrow(run, schema)
+        return queries.repartition(self.parallelism, qid).mapInArrow(run, schema)
+
+    @property
+    def parallelism(self) -> int:
+        """Tasks for the compute-bound product: its cost per query row far exceeds moving the row."""
+        return max(self.spark.sparkContext.defaultParallelism,
+                   int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     # -- large side: bounded blocks -------------------------------------------------------
 
