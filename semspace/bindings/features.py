@@ -21,7 +21,7 @@ SHARES = [f"frac_{m}" for m in MEDIA]
 
 @register("SELECT doc_id, lang, source, text FROM documents")
 def scan_csv(spark, sf):
-    path = scratch_path(spark, "documents") + ".csv"
+    path = f"{scratch_path(spark, 'documents')}/table.csv"
     tables.write_table(D.documents(spark, sf).select("doc_id", "lang", "source", "text"), path)
     back = tables.scan_csv(spark, path, multiline=True)
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,37 +77,37 @@ def tfidf(docs: DataFrame, fitted: Tfidf, key: str = "doc_id") -> DataFrame:
 
     Counting a document's terms needs no shuffle: a document is one row.
     """
-    counter = CountVectorizerModel.from_vocabulary(
-        fitted.terms, inputCol="terms", outputCol="counts")
-    counts = counter.transform(docs.select(key, "terms")).select(
-        key, F.unwrap_udt("counts").alias("c")).select(key, "c.indices", "c.values")
-    held = docs.sparkSession.sparkContext.broadcast(fitted.idf)
+    held = docs.sparkSession.sparkContext.broadcast((fitted.terms, fitted.idf))
     key_type = _arrow_type(docs, key)
 
     def run(incoming):
-        idf = held.value
+        terms, idf = held.value
+        known = pa.array(terms, pa.string())
         for batch in incoming:
-            indices, values = batch.column("indices"), batch.column("values")
-            rows, terms = ragged(indices)
-            tf = values.flatten().to_numpy(zero_copy_only=False)
-            weights = (1 + np.log(tf)) * idf[terms]
+            column = batch.column("terms")
+            lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            at = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            cell = np.repeat(np.arange(batch.num_rows), lengths) * len(known) + at
+            cell, tf = np.unique(cell[at >= 0], return_counts=True)
+            rows, found = np.divmod(cell, max(1, len(known)))
+            weights = (1 + np.log(tf)) * idf[found]
             norms = np.sqrt(np.bincount(rows, weights * weights, minlength=batch.num_rows))
-            weights = weights / np.where(norms > 0, norms, 1)[rows]
+            weights = weights / norms[rows]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))])
             offsets = pa.array(offsets.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key).cast(key_type),
-                 pa.ListArray.from_arrays(offsets, pa.array(terms.astype(np.int32))),
+                 pa.ListArray.from_arrays(offsets, pa.array(found.astype(np.int32))),
                  pa.ListArray.from_arrays(offsets, pa.array(weights))],
                 names=[key, "indices", "values"])
 
     schema = T.StructType([docs.schema[key], T.StructField("indices", T.ArrayType(T.IntegerType())),
                            T.StructField("values", T.ArrayType(T.DoubleType()))])
-    return counts.mapInArrow(run, schema)
+    return docs.select(key, "terms").mapInArrow(run, schema)
 
 
 def tfidf_weights(docs: DataFrame, fitted: Tfidf, key: str = "doc_id") -> DataFrame:
-    """Long form (key, term, weight). The vocabulary travels as one bounded array literal."""
+    """Long form (key, term, weight). The vocabulary is capped, which bounds its broadcast."""
     sparse = tfidf(docs, fitted, key)
     terms = docs.sparkSession.createDataFrame(
         [(i, t) for i, t in enumerate(fitted.terms)], "term_idx int, term string")
