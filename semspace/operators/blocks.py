@@ -17,10 +17,11 @@ from ..functions.arrow import unit_rows
 ANGLE_BINS = 1024
 PLANE_CELLS = 512
 MARGIN = 1e-8  # scores are compared at 9 decimals
+COSINE_DIGITS = 9
 
 
 def cosine_scores(q: np.ndarray, s: np.ndarray) -> np.ndarray:
-    return np.round(q @ s.T, 9)
+    return q @ s.T
 
 
 def plane_scores(q: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -87,6 +88,7 @@ class AngleBlocks(Blocks):
 
     scores = staticmethod(cosine_scores)
     prepare = staticmethod(unit_rows)
+    digits = COSINE_DIGITS
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -124,6 +126,7 @@ class PlaneBlocks(Blocks):
     span: np.ndarray = field(default=None)
 
     scores = staticmethod(plane_scores)
+    digits = None  # distances are compared as they are
 
     @staticmethod
     def prepare(m: np.ndarray) -> np.ndarray:
@@ -150,22 +153,43 @@ class PlaneBlocks(Blocks):
         return -(gap[0] ** 2 + gap[1] ** 2)
 
 
-def best_k(scores: np.ndarray, ids: np.ndarray, k: int, floor: float = -np.inf):
+def best_one(scores: np.ndarray, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Column and value of the best score of every row, compared at ``digits`` decimals, the first
+    column on ties. Only the maximum is rounded: a cell ties with it from half a unit below."""
+    at = scores.argmax(1)
+    value = scores[np.arange(len(scores)), at]
+    if digits is not None:
+        value = np.round(value, digits)
+        at = (scores >= (value - 0.5 * 10.0 ** -digits)[:, None]).argmax(1)
+    return at, value
+
+
+def best_k(scores: np.ndarray, ids: np.ndarray, k: int, floor: float = -np.inf,
+           digits: int | None = None):
     """The ``k`` best columns of every row above ``floor``; ``ids`` ascend, so equal scores go
-    to the lower id. ``scores`` is overwritten. Returns (row, id, score, rank)."""
-    rows = np.arange(len(scores))
-    found = []
-    for rank in range(1, min(k, scores.shape[1]) + 1):
-        at = scores.argmax(1)
-        value = scores[rows, at]
-        hit = value > floor
-        if not hit.any():
-            break
-        found.append((rows[hit], ids[at[hit]], value[hit], np.full(hit.sum(), rank, np.int32)))
-        scores[rows, at] = -np.inf
-    if not found:
-        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32))
-    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+    to the lower id. Returns (row, id, score, rank)."""
+    n, width = scores.shape
+    if k == 1 and width:
+        at, value = best_one(scores, digits)
+        rows = np.flatnonzero(value > floor)
+        return rows, ids[at[rows]], value[rows], np.ones(len(rows), np.int32)
+    if width > k:
+        worst = np.partition(scores, width - k, axis=1)[:, width - k]
+        slack = 0.0 if digits is None else 10.0 ** -digits
+        rows, at = np.nonzero(scores >= (worst - slack)[:, None])
+    else:
+        rows, at = np.nonzero(np.ones((n, width), bool))
+    value = scores[rows, at]
+    if digits is not None:
+        value = np.round(value, digits)
+    above = value > floor
+    rows, at, value = rows[above], at[above], value[above]
+    order = np.lexsort((at, -value, rows))
+    rows, at, value = rows[order], at[order], value[order]
+    starts = np.searchsorted(rows, np.arange(n))
+    rank = np.arange(len(rows)) - starts[rows] + 1
+    keep = rank <= k
+    return rows[keep], ids[at[keep]], value[keep], rank[keep].astype(np.int32)
 
 
 def mask_excluded(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, banned: np.ndarray) -> None:

@@ -19,10 +19,12 @@ from ..functions.arrow import batches, matrix, ragged, unit_rows
 from ..sources.storage import materialize
 from .blocks import AngleBlocks, PlaneBlocks, best_k, mask_excluded
 
-MAX_BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 8192
-QUERY_ROWS = 8192
-PIVOTS = 256
+MAX_BROADCAST_BYTES = 256 << 20
+# A block of items and a chunk of queries meet in one task. Both move once per meeting, while the
+# product grows with their sizes, so they are as large as a task's memory comfortably allows.
+BLOCK_BYTES = 128 << 20
+QUERY_BYTES = 64 << 20
+MAX_PIVOTS = 256
 TASK_CELLS = 4_000_000  # scores held at once in one task
 
 
@@ -34,18 +36,21 @@ class NearestIndex:
     """
 
     def __init__(self, items: DataFrame, metric: str = "cosine", copies_kept: int = 16,
-                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
-                 query_rows: int = QUERY_ROWS, pivots: int = PIVOTS):
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int | None = None,
+                 query_rows: int | None = None, pivots: int | None = None):
         self.spark = items.sparkSession
         self.metric = metric
         self.copies_kept = copies_kept
-        self.query_rows = query_rows
         items = items.select(F.col("idx").cast("long").alias("idx"), "v")
         size = items.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
         self.n, self.dim = size["n"], size["dim"] or 0
         self.distributed = self.n * self.dim * 8 > max_broadcast_bytes
         if self.distributed:
-            self._build_blocks(items, block_rows, pivots)
+            row_bytes = 8 * max(1, self.dim)
+            block_rows = block_rows or max(1, BLOCK_BYTES // row_bytes)
+            self.query_rows = query_rows or max(1, QUERY_BYTES // row_bytes)
+            # cells of about one block each; more would only multiply the visits
+            self._build_blocks(items, block_rows, pivots or min(MAX_PIVOTS, 1 + self.n // block_rows))
         else:
             self._build_broadcast(items)
 
@@ -74,7 +79,7 @@ class NearestIndex:
                 scores = kernel.scores(kernel.prepare(matrix(batch.column("v"))), vectors)
                 if has_exclude:
                     mask_excluded(scores, ids, *ragged(batch.column("exclude")))
-                rows, found, value, rank = best_k(scores, ids, k, floor)
+                rows, found, value, rank = best_k(scores, ids, k, floor, kernel.digits)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(qid).take(pa.array(rows)).cast(target.field(0).type),
                      pa.array(found), pa.array(value), pa.array(rank)], schema=target)
@@ -204,7 +209,7 @@ class NearestIndex:
                 scores = kern.scores(kern.prepare(matrix(batch.column("v"))), vectors)
                 if has_exclude:
                     mask_excluded(scores, ids, *ragged(batch.column("exclude")))
-                rows, found, value, _ = best_k(scores, ids, k, floor)
+                rows, found, value, _ = best_k(scores, ids, k, floor, kern.digits)
                 parts.append(pa.Table.from_arrays(
                     [batch.column(qid).take(pa.array(rows)).cast(target.field(0).type),
                      pa.array(found), pa.array(value)], schema=target))
