@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrow import batches, matrix, unit_rows, vector_column
-from .nearest import _arrow_type
+from ..functions.arrow import arrow_type, batches, matrix, unit_rows, vector_column
 from .small import MAX_DIMENSION_BYTES, load_dimension, small_broadcast
 
 STD_EPSILON = 1e-6
@@ -60,7 +59,7 @@ def affinity(items: DataFrame, anchors: DataFrame, item_id: str = "item_id", ker
     if not np.array_equal(ids, np.arange(len(ids))):
         raise ValueError("anchor_idx must be dense from 0")
     held = items.sparkSession.sparkContext.broadcast(vectors)
-    key_type = _arrow_type(items, item_id)
+    key_type = arrow_type(items, item_id)
     schema = T.StructType([items.schema[item_id], T.StructField("a", T.ArrayType(T.DoubleType()))])
 
     def run(incoming):
@@ -85,7 +84,7 @@ def _affinity_tiled(items: DataFrame, anchors: DataFrame, item_id: str, score, t
     right = (anchors.select("anchor_idx", "v")
              .withColumn("tile", F.floor(F.col("anchor_idx") / tile_rows).cast("int"))
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
-    key_type = _arrow_type(items, item_id)
+    key_type = arrow_type(items, item_id)
     target = pa.schema([(item_id, key_type), ("tile", pa.int32()), ("a", pa.list_(pa.float64()))])
 
     def product(key, some_items: pa.Table, some_anchors: pa.Table) -> pa.Table:
@@ -120,7 +119,7 @@ def anchor_stats(aff: DataFrame) -> DataFrame:
                  F.min("x").alias("lo"), F.max("x").alias("hi")))
 
 
-def _with_table(df: DataFrame, small: DataFrame, index: str, *columns: str) -> DataFrame:
+def with_table(df: DataFrame, small: DataFrame, index: str, *columns: str) -> DataFrame:
     """Add the rows of a small table, in index order, as one array column ``_table``.
 
     A scalar subquery, not a join; a column of its own because subqueries may not appear inside
@@ -133,7 +132,7 @@ def _with_table(df: DataFrame, small: DataFrame, index: str, *columns: str) -> D
 def anchor_zscore(aff: DataFrame, stats: DataFrame | None = None, item_id: str = "item_id") -> DataFrame:
     """(a - mean) / (std + 1e-6) per anchor: (item_id, z array<double>)."""
     stats = anchor_stats(aff) if stats is None else stats
-    aff = _with_table(aff, stats, "anchor_idx", "mean", "std")
+    aff = with_table(aff, stats, "anchor_idx", "mean", "std")
     z = F.zip_with("a", "_table", lambda a, s: (a - s["mean"]) / (s["std"] + F.lit(STD_EPSILON)))
     return aff.select(item_id, z.alias("z"))
 
@@ -184,7 +183,7 @@ def group_affinity(z: DataFrame, members: DataFrame, groups: DataFrame,
         total = F.aggregate(anchors, F.lit(0.0), lambda t, j: t + F.element_at(F.col("z"), j + 1))
         return F.when(F.size(anchors) > 0, total / F.size(anchors)).otherwise(F.lit(0.0))
 
-    z = _with_table(z, lists, "group_idx", "anchors")
+    z = with_table(z, lists, "group_idx", "anchors")
     return z.select(item_id, F.transform("_table", mean).alias("sa"))
 
 
@@ -197,5 +196,5 @@ def group_minmax(sa: DataFrame, item_id: str = "item_id") -> DataFrame:
     """(s - min) / (range + 1e-6) per group: (item_id, sa01 array<double>)."""
     scaled = F.zip_with(
         "sa", "_table", lambda s, r: (s - r["lo"]) / (r["hi"] - r["lo"] + F.lit(RANGE_EPSILON)))
-    sa = _with_table(sa, group_ranges(sa), "group_idx", "lo", "hi")
+    sa = with_table(sa, group_ranges(sa), "group_idx", "lo", "hi")
     return sa.select(item_id, scaled.alias("sa01"))

@@ -44,11 +44,13 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One row per key, the first in ``order``.
 
     An aggregate rather than a window: it is combined before the shuffle, so a key that holds a
-    third of all rows sends one row per task.
+    third of all rows sends one row per task. The hash leads the key so that sorting compares
+    numbers, not long texts.
     """
     rest = [c for c in df.columns if c not in keys and c != order]
     first = F.min(F.struct(order, *rest)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
+    grouped = df.groupBy(F.xxhash64(*keys).alias("_hash"), *keys).agg(first)
+    return grouped.select(*keys, "_first.*").select(*df.columns)
 
 
 def optional_column(df: DataFrame, name: str, default: Any = None) -> Column:

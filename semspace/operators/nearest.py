@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrow import batches, matrix, ragged, unit_rows
+from ..functions.arrow import arrow_type, batches, matrix, ragged, unit_rows
 from ..sources.storage import materialize
 from .blocks import AngleBlocks, PlaneBlocks, best_k, mask_excluded
 
@@ -68,7 +68,7 @@ class NearestIndex:
         data, kernel = self.data, self.kernel
         has_exclude = "exclude" in queries.columns
         schema = _result_schema(queries, qid)
-        target = pa.schema([pa.field(qid, _arrow_type(queries, qid)), *_RESULT_ARROW])
+        target = pa.schema([pa.field(qid, arrow_type(queries, qid)), *_RESULT_ARROW])
 
         def run(incoming):
             ids, vectors = data.value
@@ -96,7 +96,7 @@ class NearestIndex:
 
     def _build_blocks(self, items: DataFrame, block_rows: int, pivots: int) -> None:
         if self.copies_kept:
-            copies = Window.partitionBy("v").orderBy("idx")
+            copies = Window.partitionBy(F.xxhash64("v"), "v").orderBy("idx")
             items = (items.withColumn("copy", F.row_number().over(copies))
                      .where(F.col("copy") <= self.copies_kept).drop("copy"))
         items = materialize(items, "items")
@@ -193,7 +193,7 @@ class NearestIndex:
                  .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
                  .drop("chunks"))
         schema = T.StructType([routed.schema[qid], *_RESULT_FIELDS[:2]])
-        target = pa.schema([pa.field(qid, _arrow_type(routed, qid)), *_RESULT_ARROW[:2]])
+        target = pa.schema([pa.field(qid, arrow_type(routed, qid)), *_RESULT_ARROW[:2]])
 
         def search(_key, asked: pa.Table, held: pa.Table) -> pa.Table:
             kern = kernel.value
@@ -253,12 +253,6 @@ def _result_schema(queries: DataFrame, qid: str) -> T.StructType:
     return T.StructType([queries.schema[qid], *_RESULT_FIELDS])
 
 
-def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[column].dataType)
-
-
 def _ranked(found: DataFrame, qid: str, k: int) -> DataFrame:
     order = Window.partitionBy(qid).orderBy(F.desc("score"), "idx")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrow import matrix, unit_rows, vector_column
-from .nearest import _arrow_type
+from ..functions.arrow import arrow_type, matrix, unit_rows, vector_column
 
 
 @dataclass
@@ -37,7 +36,7 @@ def fit_pca(items: DataFrame, k: int, vec: str = "v") -> Reduction:
 def apply_pca(df: DataFrame, fitted: Reduction, key: str, unit: bool = True) -> DataFrame:
     """Project on the axes after subtracting the fitted mean: (key, v array<double>)."""
     held = df.sparkSession.sparkContext.broadcast((fitted.mean, fitted.axes))
-    key_type = _arrow_type(df, key)
+    key_type = arrow_type(df, key)
 
     def run(incoming):
         mean, axes = held.value

@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrow import ragged, vector_column
+from ..functions.arrow import arrow_type, ragged, vector_column
 from ..functions.columns import let
 from ..functions.stopwords import ENGLISH
 from ..functions.vectors import l2_normalize
 from ..sources.storage import materialize
-from .nearest import _arrow_type
 
 TOKEN_PATTERN = r"([\p{L}\p{N}_]{2,})"
 
@@ -78,7 +77,7 @@ def tfidf(docs: DataFrame, fitted: Tfidf, key: str = "doc_id") -> DataFrame:
     Counting a document's terms needs no shuffle: a document is one row.
     """
     held = docs.sparkSession.sparkContext.broadcast((fitted.terms, fitted.idf))
-    key_type = _arrow_type(docs, key)
+    key_type = arrow_type(docs, key)
 
     def run(incoming):
         terms, idf = held.value
@@ -189,7 +188,7 @@ def fit_lsa(sparse: DataFrame, terms: int, dim: int, passes: int = 6, oversample
 def lsa_scores(sparse: DataFrame, fitted: Lsa, key: str = "doc_id") -> DataFrame:
     """Documents on the latent axes, not normalised: (key, v array<double>)."""
     held = sparse.sparkSession.sparkContext.broadcast(fitted.axes)
-    key_type = _arrow_type(sparse, key)
+    key_type = arrow_type(sparse, key)
 
     def run(incoming):
         axes = held.value

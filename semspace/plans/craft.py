@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators.compose import Closure, craft_universe, reach_closure
+from ..operators.compose import Closure, craft_universe, reach_closure, vectors_fingerprint
 from ..operators.reduce import Reduction, apply_pca, fit_pca
 from ..sources.storage import materialize
 
@@ -28,6 +29,29 @@ def round_trip(df: DataFrame, scale: float, vec: str = "v") -> DataFrame:
     return coded.withColumn(vec, V.dequantize(F.col("q"), s))
 
 
+def stored_closure(universe: DataFrame, seeds: DataFrame, folder: str | None = None) -> Closure:
+    """The closure of these very vectors from ``folder`` if it was finished before, else computed
+    and stored there. The key is a hash of the contents, so a new embedding is never mistaken for
+    an old one."""
+    if folder is None:
+        return reach_closure(universe, seeds)
+    spark = universe.sparkSession
+    key = (f"{vectors_fingerprint(universe.select('item_idx', 'v'))}-"
+           f"{vectors_fingerprint(seeds.select(F.col('seed_idx').alias('item_idx'), 'v'))}")
+    path = f"{folder}/{key}"
+    try:
+        meta = spark.read.parquet(f"{path}/meta").first()  # written last
+        return Closure(spark.read.parquet(f"{path}/recipes"), *meta)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    done = reach_closure(universe, seeds)
+    done.recipes.write.mode("overwrite").parquet(f"{path}/recipes")
+    spark.createDataFrame([(done.total, done.reached, done.rounds, done.hubs)],
+                          "total long, reached long, rounds long, hubs long").write.parquet(f"{path}/meta")
+    return Closure(spark.read.parquet(f"{path}/recipes"), done.total, done.reached, done.rounds, done.hubs)
+
+
 @dataclass
 class Craft:
     universe: DataFrame  # item_idx, kind, name, q, v
@@ -38,9 +62,10 @@ class Craft:
 
 
 def build(words: DataFrame, anchors: DataFrame, items: DataFrame, seeds: DataFrame, dim: int = 48,
-          require_complete: bool = False) -> Craft:
+          require_complete: bool = False, closures: str | None = None) -> Craft:
     """``words``, ``anchors``, ``items``: (ord, name, v) each; ``seeds``: (seed_idx, name, v). The
-    axes are fitted on the items only and applied to everything."""
+    axes are fitted on the items only and applied to everything. ``closures``: a folder of finished
+    closures to reuse."""
     fitted = fit_pca(items, dim)
     whole = craft_universe(("word", words), ("genre", anchors), ("item", items))
     whole = materialize(whole.select("item_idx", "kind", "name", "v"), "universe")
@@ -49,7 +74,7 @@ def build(words: DataFrame, anchors: DataFrame, items: DataFrame, seeds: DataFra
     scale = global_scale(reduced, seeds_reduced).first()["scale"]
     universe = materialize(round_trip(reduced, scale), "universe")
     start = materialize(round_trip(seeds_reduced, scale), "seeds")
-    closure = reach_closure(universe, start)
+    closure = stored_closure(universe, start, closures)
     if require_complete:
         closure.require_complete()
     return Craft(universe, start, scale, fitted, closure)

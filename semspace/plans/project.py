@@ -30,7 +30,7 @@ def affinity_profile(z: DataFrame, anchors: DataFrame, groups: DataFrame) -> Dat
     """
     sa = A.group_affinity(z, A.group_membership(anchors, groups), groups)
     sa = materialize(sa, "groups")
-    names = A._with_table(z, anchors, "anchor_idx", "name")
+    names = A.with_table(z, anchors, "anchor_idx", "name")
 
     def name_of(idx):
         return F.element_at("_table", idx + 1)["name"]

@@ -181,6 +181,18 @@ def test_craft_plan_end_to_end(spark):
         assert nearest(v, a + b, banned) == row["item_idx"]
 
 
+def test_closures_are_reused_by_content(spark, tmp_path, monkeypatch):
+    v, r = unit(RNG.standard_normal((12, 4))), frame(spark, unit(RNG.standard_normal((2, 4))), "seed_idx")
+    first = craft.stored_closure(frame(spark, v, "item_idx"), r, str(tmp_path))
+    runs = []
+    monkeypatch.setattr(craft, "reach_closure", lambda *a: runs.append(a) or first)
+    again = craft.stored_closure(frame(spark, v, "item_idx").repartition(3), r, str(tmp_path))
+    assert not runs and (again.total, again.reached) == (first.total, first.reached)
+    assert sorted(map(str, again.recipes.collect())) == sorted(map(str, first.recipes.collect()))
+    craft.stored_closure(frame(spark, v + 0.01, "item_idx"), r, str(tmp_path))
+    assert len(runs) == 1
+
+
 def test_projection_plan_end_to_end(spark):
     m = RNG.standard_normal((60, 8))
     vectors = frame(spark, m, "item_id").withColumn("item_id", F.col("item_id").cast("string"))
