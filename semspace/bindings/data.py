@@ -28,14 +28,15 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mean_vectors(spark: SparkSession, sf: str, *keys: str) -> DataFrame:
-    """Mean vector per key; keys are label, p and q (signs of the first two components)."""
+    """Mean vector per key; keys are label, p and q (signs of the first two components). Written
+    once, as every use reads it several times."""
     cells = table(spark, sf, "embeddings").select(
         "label", (F.element_at("embedding", 1) > 0).cast("int").alias("p"),
         (F.element_at("embedding", 2) > 0).cast("int").alias("q"),
         F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
     means = cells.groupBy(*keys, "pos").agg(F.avg("x").alias("x"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "x")))
-    return means.groupBy(*keys).agg(F.transform(ordered, lambda c: c["x"]).alias("v"))
+    return materialize(means.groupBy(*keys).agg(F.transform(ordered, lambda c: c["x"]).alias("v")), "means")
 
 
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
