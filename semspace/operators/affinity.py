@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrow import arrow_type, batches, matrix, unit_rows, vector_column
-from .small import MAX_DIMENSION_BYTES, load_dimension, small_broadcast
+from .skew import legend_lookup
+from .small import MAX_DIMENSION_BYTES, load_dimension
 
 STD_EPSILON = 1e-6
 RANGE_EPSILON = 1e-6
@@ -56,7 +57,7 @@ def affinity(items: DataFrame, anchors: DataFrame, item_id: str = "item_id", ker
     if loaded is None:
         return _affinity_tiled(items, anchors, item_id, score, tile_rows)
     ids, vectors = loaded
-    if not np.array_equal(ids, np.arange(len(ids))):
+    if not len(ids) or not np.array_equal(ids, np.arange(len(ids))):
         raise ValueError("anchor_idx must be dense from 0")
     held = items.sparkSession.sparkContext.broadcast(vectors)
     key_type = arrow_type(items, item_id)
@@ -163,9 +164,8 @@ def top_anchors(z: DataFrame, n: int = 3, item_id: str = "item_id") -> DataFrame
 
 def group_membership(anchors: DataFrame, groups: DataFrame) -> DataFrame:
     """Group index of every anchor, -1 where the key names no group."""
-    known = small_broadcast(groups.select("group_key", "group_idx"))
-    return (anchors.join(known, "group_key", "left")
-            .withColumn("group_idx", F.coalesce(F.col("group_idx"), F.lit(-1)).cast("int")))
+    named = legend_lookup(anchors, groups.select("group_key", "group_idx"), "group_key")
+    return named.withColumn("group_idx", F.coalesce(F.col("group_idx"), F.lit(-1)).cast("int"))
 
 
 def group_affinity(z: DataFrame, members: DataFrame, groups: DataFrame,

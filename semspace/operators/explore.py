@@ -11,8 +11,7 @@ from ..functions import scores as S
 from ..functions.text import item_url, space_case
 from ..sources.storage import materialize
 from .compose import element_key
-from .skew import HOT_ROWS, hot_keys, salted_lookup
-from .small import small_broadcast
+from .skew import HOT_ROWS, hot_keys, legend_lookup, salted_lookup
 
 ITEM_URL = "https://example.org/items/"
 AXES = ("map1", "map2", "map3", "pop", "score", "cluster", "film", "tv", "lit", "flat")
@@ -60,7 +59,7 @@ def discovery_progress(found: DataFrame, kind: str = "genre") -> DataFrame:
 def dimension_lookup(items: DataFrame, dimension: DataFrame, key: str,
                      columns: Sequence[str] = ("label", "color")) -> DataFrame:
     """Label and colour of each item's group or kind; a grey and no label where there is none."""
-    out = items.join(small_broadcast(dimension.select(key, *columns)), key, "left")
+    out = legend_lookup(items, dimension.select(key, *columns), key)
     return out.withColumns({"label": F.coalesce("label", F.lit("")),
                             "color": F.coalesce("color", F.lit(S.DEFAULT_COLOR))})
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.arrow import arrow_type, batches, matrix, ragged, unit_rows
 from ..sources.storage import materialize
 from .blocks import AngleBlocks, PlaneBlocks, best_k, mask_excluded
+from .small import small_broadcast
 
 MAX_BROADCAST_BYTES = 256 << 20
 # A block of items and a chunk of queries meet in one task. Both move once per meeting, while the
@@ -185,7 +186,7 @@ class NearestIndex:
         has_exclude = "exclude" in routed.columns
         chunks = routed.groupBy("block").agg(
             F.ceil(F.count("*") / F.lit(self.query_rows)).cast("int").alias("chunks"))
-        chunks = F.broadcast(materialize(chunks, "chunks"))  # one row per block at most
+        chunks = small_broadcast(materialize(chunks, "chunks"))  # one row per block at most
         left = (routed.join(chunks, "block")
                 .withColumn("chunk", F.pmod(F.xxhash64(qid), F.col("chunks")).cast("int"))
                 .drop("chunks"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .small import MAX_BROADCAST_ROWS
+
 HOT_KEYS = 4096
 HOT_ROWS = 1_000_000
 
@@ -38,3 +40,11 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     right = lookup.join(salts, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def legend_lookup(rows: DataFrame, legend: DataFrame, key: str) -> DataFrame:
+    """Left look-up in a legend (unique on ``key``) that is usually a few rows: broadcast while it
+    is small, otherwise a salted join, as a popular entry may hold much of the rows."""
+    if legend.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        return rows.join(F.broadcast(legend), key, "left")
+    return salted_lookup(rows, legend, key)

@@ -17,6 +17,7 @@ from ..functions.columns import let
 from ..functions.stopwords import ENGLISH
 from ..functions.vectors import l2_normalize
 from ..sources.storage import materialize
+from .small import MAX_BROADCAST_ROWS
 
 TOKEN_PATTERN = r"([\p{L}\p{N}_]{2,})"
 
@@ -43,7 +44,9 @@ def vocabulary(docs: DataFrame, min_df: int = 3, max_features: int = 50_000) ->
     by corpus count, ties by term. ``docs``: (doc_id, terms array<string>).
 
     Every document emits its terms once for the count and its distinct terms once for the
-    document frequency, so one combined aggregation by term serves both.
+    document frequency, so one combined aggregation by term serves both. Before the final sort a
+    histogram of the counts (16 steps per doubling) rules out the terms that cannot be among the
+    first ``max_features``, so that sort does not grow with the number of terms.
     """
     def tagged(terms: Column, n: int, df: int) -> Column:
         return F.transform(terms, lambda t: F.struct(
@@ -52,7 +55,14 @@ def vocabulary(docs: DataFrame, min_df: int = 3, max_features: int = 50_000) ->
     both = F.concat(tagged(F.col("terms"), 1, 0), tagged(F.array_distinct("terms"), 0, 1))
     totals = (docs.select(F.inline(both)).groupBy("term")
               .agg(F.sum("n").alias("n"), F.sum("df").alias("df")))
-    return totals.where(F.col("df") >= min_df).orderBy(F.desc("n"), "term").limit(max_features)
+    totals = materialize(totals.where(F.col("df") >= min_df), "terms")
+    step = F.floor(F.log2("n") * 16)
+    lowest, above = 0, 0
+    for row in totals.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        lowest, above = row["step"], above + row["count"]
+        if above >= max_features:
+            break
+    return totals.where(step >= lowest).orderBy(F.desc("n"), "term").limit(max_features)
 
 
 @dataclass
@@ -106,13 +116,14 @@ def tfidf(docs: DataFrame, fitted: Tfidf, key: str = "doc_id") -> DataFrame:
 
 
 def tfidf_weights(docs: DataFrame, fitted: Tfidf, key: str = "doc_id") -> DataFrame:
-    """Long form (key, term, weight). The vocabulary is capped, which bounds its broadcast."""
+    """Long form (key, term, weight)."""
     sparse = tfidf(docs, fitted, key)
     terms = docs.sparkSession.createDataFrame(
         [(i, t) for i, t in enumerate(fitted.terms)], "term_idx int, term string")
     cells = sparse.select(key, F.explode(F.arrays_zip("indices", "values")).alias("c"))
     cells = cells.select(key, F.col("c.indices").alias("term_idx"), F.col("c.values").alias("weight"))
-    return cells.join(F.broadcast(terms), "term_idx").select(key, "term", "weight")
+    terms = F.broadcast(terms) if len(fitted.terms) <= MAX_BROADCAST_ROWS else terms
+    return cells.join(terms, "term_idx").select(key, "term", "weight")
 
 
 @dataclass

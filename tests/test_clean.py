@@ -4,6 +4,7 @@ from semspace.functions import scores as S
 from semspace.functions import text as T
 from semspace.operators import clean as C
 from semspace.operators import features as X
+from semspace.operators import skew
 from semspace.operators.skew import hot_keys, salted_lookup
 
 
@@ -72,6 +73,14 @@ def test_salted_lookup_equals_plain_join(spark):
         assert sorted(map(str, salted.select("id", "k", "x").collect())) == sorted(map(str, plain.select("id", "k", "x").collect()))
 
 
+def test_legend_lookup_beyond_the_limit(spark, monkeypatch):
+    rows = spark.range(100).select("id", (F.col("id") % 3).alias("k"))
+    legend = spark.createDataFrame([(0, "a"), (1, "b")], "k long, label string")
+    small = sorted(map(tuple, skew.legend_lookup(rows, legend, "k").select("id", "label").collect()))
+    monkeypatch.setattr(skew, "MAX_BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, skew.legend_lookup(rows, legend, "k").select("id", "label").collect())) == small
+
+
 def test_first_usable_score_per_name(spark):
     scores = spark.createDataFrame([("A", "n/a", 0), ("A", "0.5", 1), ("A", "0.7", 2), ("B", "x", 3)],
                                    "name string, score string, ord long")

@@ -78,6 +78,12 @@ def test_unreachable_items_are_reported(spark):
         {"item": done.reached / 4, None: done.reached / 4})
 
 
+def test_closure_of_nothing(spark):
+    none = frame(spark, np.eye(2), "item_idx").where("item_idx < 0")
+    done = M.reach_closure(none, frame(spark, np.eye(2), "seed_idx"))
+    assert (done.total, done.reached, done.recipes.count()) == (0, 0, 0)
+
+
 def test_colliding_seed_pairs_keep_the_first(spark):
     seeds = np.array([[1.0, 0.0], [0.9, 0.1], [0.95, 0.05]])
     index = NearestIndex(frame(spark, unit(np.array([[1.0, 0.05], [-1.0, 0.0]])), "idx"))
