@@ -20,9 +20,13 @@ def normalize_header(df: DataFrame, names: dict[str, str] | None = None) -> Data
     return df.toDF(*[names.get(c.lower(), c) for c in trimmed])
 
 
-def find_score_columns(columns: Sequence[str], name: str = "Trope",
-                       prefixes: Sequence[str] = ("normalizedgenderratio", "gender ratio"),
-                       ) -> tuple[str, str | None]:
+# How the dump heads its score columns.
+SCORE_NAME_HEADER = "Trope"
+SCORE_PREFIXES = ("normalizedgenderratio", "gender ratio")
+
+
+def find_score_columns(columns: Sequence[str], name: str = SCORE_NAME_HEADER,
+                       prefixes: Sequence[str] = SCORE_PREFIXES) -> tuple[str, str | None]:
     """The name column (``name`` or else the first) and the score column, picked by prefix.
 
     The first prefix is compared with blanks removed, the others with the header as it is.

@@ -33,7 +33,8 @@ class NearestIndex:
     """Items ``(idx long, v array)`` prepared for repeated searches.
 
     ``copies_kept``: of items with equal vectors only the lowest ids can ever be returned, so the
-    distributed form keeps that many of each (k plus the number of exclusions).
+    distributed form keeps that many of each (at least k plus the exclusions of a query; 0 keeps
+    them all).
     """
 
     def __init__(self, items: DataFrame, metric: str = "cosine", copies_kept: int = 16,
@@ -145,7 +146,7 @@ class NearestIndex:
 
     def _route(self, queries: DataFrame, qid: str, k: int, floor: float, second: bool) -> DataFrame:
         """One row per (query, block to visit)."""
-        data = self.data
+        data, kept = self.data, self.copies_kept
         columns = [c for c in queries.columns if c != "bound"]
         fields = [queries.schema[c] for c in columns]
 
@@ -160,6 +161,8 @@ class NearestIndex:
                 if "exclude" in columns:
                     need += np.bincount(ragged(batch.column("exclude"))[0],
                                         minlength=batch.num_rows)
+                if kept and need.max() > kept:
+                    raise ValueError(f"k plus exclusions is {need.max()}, copies_kept is {kept}")
                 order = np.argsort(-limit, axis=1, kind="stable")
                 before = np.cumsum(kern.rows[order], axis=1) - kern.rows[order]
                 visit = np.zeros(limit.shape, bool)

@@ -20,10 +20,16 @@ def feature_table(items: DataFrame, events: dict[str, DataFrame], scores: DataFr
                          "dominant_media", "gender_ratio")
 
 
-def build(spark: SparkSession, root: str, out: str, catalogue: str = "tropes.csv",
-          events: dict[str, str] | None = None, scores: str = "genderedness_filtered.csv") -> DataFrame:
+# File names of the dump.
+CATALOGUE_FILE = "tropes.csv"
+EVENT_FILES = {"film": "film_tropes.csv", "tv": "tv_tropes.csv", "lit": "lit_tropes.csv"}
+SCORE_FILE = "genderedness_filtered.csv"
+
+
+def build(spark: SparkSession, root: str, out: str, catalogue: str = CATALOGUE_FILE,
+          events: dict[str, str] | None = None, scores: str = SCORE_FILE) -> DataFrame:
     """Find the dump under ``root``, build the table, write it to ``out``."""
-    events = events or {m: f"{m}_tropes.csv" for m in MEDIA}
+    events = events or EVENT_FILES
     folder = tables.locate_datasets(spark, root, catalogue)[0]
     table = feature_table(
         tables.read_catalogue(spark, f"{folder}/{catalogue}"),

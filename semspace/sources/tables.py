@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.text import NA_TOKENS, na_to_null
 from ..operators.clean import drop_missing, find_score_columns, keep_first, normalize_header
 
+# Headers of the dump (lower case) and the names used here.
 CATALOGUE_NAMES = {"tropeid": "item_id", "itemid": "item_id", "item_id": "item_id",
                    "trope": "name", "name": "name", "description": "description"}
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc"}

@@ -66,6 +66,14 @@ def test_search_excludes_and_runs_short(spark, limits):
     assert sorted((r["qid"], r["rank"], r["idx"]) for r in got) == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_search_refuses_more_than_it_kept(spark):
+    index = NearestIndex(frame(spark, np.eye(4)), copies_kept=2, max_broadcast_bytes=0)
+    asked = frame(spark, np.eye(4)[:1], "qid").withColumn("exclude", F.array(F.lit(0).cast("long")))
+    assert index.search(asked, 1).count() == 1
+    with pytest.raises(Exception, match="copies_kept"):
+        index.search(asked, 2).count()
+
+
 def test_few_items_than_neighbours(spark):
     assert knn_graph(frame(spark, np.eye(3)), 10).count() == 6
     assert knn_graph(frame(spark, np.eye(1)), 10).count() == 0
