@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import jaccard
-from .common import documents, table
+from . import jaccard, lines, mixing, packing, quality
+from .common import documents, keep, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,56 @@ def _register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@_register()
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@_register()
+def op4_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+OP5_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         (CAST('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE)
+           / 4503599627370496::DOUBLE AS u
+  FROM documents
+), r AS (SELECT doc_id, source, size, u / (1 - u) / length(bin(size)) AS rank FROM d),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, sum(source_size) OVER ()::BIGINT AS whole,
+              ([3, 1, 2])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM s0),
+s2 AS (SELECT *, coalesce(sum(source_size) OVER f, 0)::BIGINT AS done, sum(w) OVER ()::BIGINT AS ws,
+              coalesce(sum(w) OVER f, 0)::BIGINT AS wd FROM s1
+       WINDOW f AS (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, (3 * whole - 4 * done) * w > 4 * source_size * (ws - wd) AS is_full FROM s2),
+s4 AS (SELECT *, coalesce(sum(CASE WHEN is_full THEN source_size END) OVER (), 0)::BIGINT AS cut,
+              coalesce(sum(CASE WHEN NOT is_full THEN w END) OVER (), 0)::BIGINT AS open FROM s3),
+s5 AS (SELECT source, source_size, CASE WHEN is_full THEN (2 * source_size)::DOUBLE
+              ELSE (w * (3 * whole - 4 * cut))::DOUBLE / (2 * open)::DOUBLE END AS target FROM s4),
+s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM s5),
+j AS (SELECT r.doc_id, r.size, s.source_size, s.target, s.copies, s.target - s.copies * s.source_size AS rest,
+             sum(r.size) OVER (PARTITION BY r.source ORDER BY r.rank, r.size, r.doc_id
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until
+      FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (size * (copies + CASE WHEN until - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM j
+"""
+
+
+@_register(OP5_SQL)
+def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = mixing.allocate(keep(mixing.sized(docs, ["doc_id"]), "sizes"))
+    return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@_register()
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed_lines(documents(spark, sf_dir)).drop("h")
+
+
 @_register()
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))

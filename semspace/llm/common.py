@@ -12,15 +12,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialize, scratch_path, shared_dir
 
-__all__ = ["Words", "components", "documents", "drop", "flat", "keep", "mix", "scratch_path", "seq_hash",
+__all__ = ["BITMAP_BITS", "Words", "bitmap", "components", "documents", "drop", "flat", "in_bitmap", "keep", "mix", "scratch_path", "seq_hash",
            "shared_dir", "slices", "table", "to_long"]
 
 SLICE_BYTES = 1 << 20  # bytes of text that a kernel takes at once; one longer row is a slice of its own
+BITMAP_BITS = 1 << 25
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -135,6 +137,20 @@ class Words:
         return rows, mix(seq_hash(self.hash, lo, hi) + (hi - lo).astype(np.uint64))
 
 
+def bitmap(places: DataFrame) -> Broadcast:
+    """Broadcast bitmap of fixed size (4 MB) with the bits ``at`` of ``places`` set: a filter before a
+    join. Beyond its capacity it lets more rows through, never fewer."""
+    words = places.groupBy(F.expr("at div 64").alias("w")).agg(
+        F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toArrow()
+    bits = np.zeros(BITMAP_BITS // 64, np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return places.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_bitmap(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bits[at >> 6] >> (at & 63)) & 1) == 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id that has an edge (u, v): the smallest id it is connected to.
 

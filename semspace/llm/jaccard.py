@@ -32,10 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, components, keep, mix, slices
+from .common import BITMAP_BITS, Words, bitmap, components, in_bitmap, keep, mix, slices
 
 HOT_LOCAL, HOT_GLOBAL = 8192, 65536  # frequent tokens reported by a task, and kept
-BLOOM_BITS = 1 << 25
 LIKELY = 0.8  # share of a prefix that a tie has in common; it decides the work, not the result
 WORDS = 4
 PERCENT = 85
@@ -191,28 +190,16 @@ def cross_pairs(lists: DataFrame, groups: DataFrame, percent: int, inside: DataF
     return pairs.where(F.col("o") + rest >= _needed(nx, ny, percent)).select("x", "y")
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size; beyond its capacity it lets more rows through, never fewer."""
-    at = F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS))
-    words = ids.select(at.alias("at")).groupBy(F.expr("at div 64").alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits")).toArrow()
-    bitmap = np.zeros(BLOOM_BITS // 64, np.int64)
-    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
-    return bitmap
-
-
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """(x, y, linked) of ``pairs`` by their whole sets. Sets are made only of texts that pairs name (and
     a few others that the bitmap lets through) and travel once for each side of a pair."""
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("at")
+    bits = bitmap(ids.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)).alias("at")))
 
     def build(batches):
-        bits = bitmap.value
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = ((bits[at >> 6] >> (at & 63)) & 1) == 1
-            batch = batch.filter(pa.array(hit))
+            batch = batch.filter(pa.array(in_bitmap(bits.value, batch.column(2).to_numpy(zero_copy_only=False))))
             if batch.num_rows:
                 found = [s for _, s in _sets(batch.column(1), k)]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
@@ -220,8 +207,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "s"])
 
-    sets = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("at")).mapInArrow(
-        build, "id long, s array<long>")
+    sets = docs.select("doc_id", "text", place).mapInArrow(build, "id long, s array<long>")
 
     def compare(batches):
         for batch in batches:
