@@ -7,7 +7,7 @@ document is scored in time linear in its words. Labels, lang, source and doc_id
 
 Fitting takes a bounded sample: the MAX_ROWS labelled rows with the smallest hash of doc_id whose crc32 of
 doc_id mod 5 is not 0 (the rest is held out). Their features go to the driver (at most MAX_ROWS rows), which
-runs EPOCHS of mini-batch AdaGrad on the logistic loss, in a fixed order. Scoring covers all whole
+runs EPOCHS (LEAST_STEPS steps at least) of mini-batch AdaGrad on the logistic loss, in a fixed order. Scoring covers all whole
 texts, with the model (2^15 + 24 inputs) broadcast.
 
 Null and empty texts have no words and are scored from their statistics. Where a document has several
@@ -30,7 +30,7 @@ from .common import Words, slices
 SPACE = 1 << 15
 RANK = 6
 MAX_ROWS = 12_000
-EPOCHS = 4
+EPOCHS, LEAST_STEPS = 4, 400
 BATCH = 256
 RATE = 0.05
 DECAY = 1e-5
@@ -136,7 +136,7 @@ def fit(labelled: pa.Table) -> Model:
     dense = _standard(m, stats)
     m.w0 = float(np.log(y.mean() / (1 - y.mean())))
     gw, gv = np.full(SPACE + N_STATS, 1e-6), np.full((SPACE + N_STATS, RANK), 1e-6)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // n))):
         order = rng.permutation(n)
         for lo in range(0, n, BATCH):
             pick = order[lo: lo + BATCH]
