@@ -17,8 +17,10 @@ components. Steps:
 5. *Positions.* Entries of different groups meet in their lists if sizes and positions still permit the
    overlap; the shared postings of a pair bound its overlap from above, and only pairs that can reach
    the threshold go on.
-6. *Verification* of ties and pairs on whole sets. Where a tie fails, the group it held together is
-   joined again, by step 5, between its verified parts; after that nothing is left unchecked.
+6. *Verification* on whole sets: first the ties and each set's best pair. Where a tie fails, the group it
+   held together is joined again, by step 5, between its verified parts. Then the best
+   pair of each set among those that are not of one component yet, then all that are still left. A pair
+   is skipped only if its sets are already connected.
 
 Empty or null texts have the empty set: n_shingles 0, linked with nothing, their own component.
 Rows with one doc_id are one vertex, whatever their texts; the result has one row per input row. Rows
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import BITMAP_BITS, Words, bitmap, components, in_bitmap, keep, mix, slices
 
-HOT_LOCAL, HOT_GLOBAL = 8192, 65536  # frequent tokens reported by a task, and kept
+HOT_LOCAL, HOT_GLOBAL = 1 << 15, 1 << 18  # frequent tokens reported by a task, and kept
 LIKELY = 0.8  # share of a prefix that a tie has in common; it decides the work, not the result
 WORDS = 4
 PERCENT = 85
@@ -165,7 +167,7 @@ def ties(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_pairs(lists: DataFrame, groups: DataFrame, percent: int, inside: DataFrame | None = None) -> DataFrame:
-    """(x, y): pairs of different groups that share postings and can still reach the threshold.
+    """(x, y, o): pairs of different groups that share o postings and can still reach the threshold.
 
     ``groups``: (rep, grp) of the sets that are not alone. ``inside``: (rep, old), then only pairs with
     equal ``old`` are made.
@@ -187,7 +189,7 @@ def cross_pairs(lists: DataFrame, groups: DataFrame, percent: int, inside: DataF
         F.count("*").alias("o"), F.max(nx).alias("nx"), F.max(ny).alias("ny"))
     nx, ny = F.col("nx"), F.col("ny")
     rest = F.greatest(nx - _prefix(nx, percent), ny - _prefix(ny, percent))
-    return pairs.where(F.col("o") + rest >= _needed(nx, ny, percent)).select("x", "y")
+    return pairs.where(F.col("o") + rest >= _needed(nx, ny, percent)).select("x", "y", "o")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -225,30 +227,54 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
     return full.mapInArrow(compare, "x long, y long, linked boolean").distinct()
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """(x, y): for each set the pair in which it shares most postings."""
+    both = pairs.select("x", "y", "o").union(pairs.select("y", "x", "o"))
+    best = both.groupBy("x").agg(F.max_by("y", F.struct("o", -F.col("y"))).alias("y"))
+    return best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _apart(pairs: DataFrame, parts: DataFrame, checked: DataFrame) -> DataFrame:
+    """``pairs`` that were not checked and are not of one component of the links found so far."""
+    px = parts.select(F.col("rep").alias("x"), F.col("grp").alias("gx"))
+    py = parts.select(F.col("rep").alias("y"), F.col("grp").alias("gy"))
+    pairs = pairs.join(px, "x", "left").join(py, "y", "left").where(
+        F.coalesce("gx", "x") != F.coalesce("gy", "y")).drop("gx", "gy")
+    return pairs.join(checked, ["x", "y"], "left_anti")
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    return keep(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).select(
+        F.col("id").alias("rep"), F.col("component").alias("grp")), "parts")
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text); see the module's text."""
     docs = docs.select("doc_id", "text")
+    texts = docs.where(F.col("text").isNotNull())
     signed = keep(signatures(docs, k, percent, frequent_tokens(docs, k)), "signatures")
     classes = keep(signed.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "classes")
     one = signed.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "a", "b"), ["doc_id", "a", "b"], "left_semi")
     lists = keep(shared_postings(one.select(F.col("doc_id").alias("rep"), "n", "prefix")), "lists")
-    tied = keep(ties(lists, percent), "ties")
-    groups = keep(components(tied.select(F.col("x").alias("u"), F.col("y").alias("v"))).select(
-        F.col("id").alias("rep"), F.col("component").alias("grp")), "groups")
-    pairs = tied.withColumn("tie", F.lit(True)).unionByName(cross_pairs(lists, groups, percent).withColumn("tie", F.lit(False)))
-    pairs = keep(pairs, "pairs")
-    texts = docs.where(F.col("text").isNotNull())
-    checked = keep(verify(texts, pairs.select("x", "y"), k, percent), "checked")
-    links = checked.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    broken = pairs.where("tie").join(checked.where("not linked"), ["x", "y"], "left_semi").select(F.col("x").alias("rep"))
-    broken = keep(broken.join(groups, "rep").select(F.col("grp").alias("old")).distinct(), "broken")
-    if not broken.isEmpty():
-        inside = groups.withColumnRenamed("grp", "old").join(broken, "old")
-        parts = components(links).select(F.col("id").alias("rep"), F.col("component").alias("grp"))
-        more = keep(cross_pairs(lists, keep(parts, "parts"), percent, inside), "pairs")
-        links = links.union(verify(texts, more, k, percent).where("linked").select("x", "y"))
-    found = components(keep(links, "links")).select(F.col("id").alias("rep"), "component")
-    classes = classes.join(found, "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
+    tied = keep(ties(lists, percent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "ties")
+    groups = _parts(tied)
+    ordered = (F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "o")
+    pairs = keep(cross_pairs(lists, groups, percent).select(*ordered), "pairs")
+
+    checked = keep(verify(texts, tied.union(_best(pairs)).distinct(), k, percent), "checked")
+    parts = _parts(checked.where("linked"))
+    # ties that failed, unless other links hold their ends together: their groups are joined again
+    failed = _apart(tied, parts, checked.where("linked").select("x", "y")).select(F.col("x").alias("rep"))
+    broken = failed.join(groups, "rep").select(F.col("grp").alias("old")).distinct()
+    inside = keep(groups.withColumnRenamed("grp", "old").join(broken, "old"), "broken")
+    pairs = pairs.union(cross_pairs(lists, parts, percent, inside).select(*ordered))
+    for chosen in (_best, lambda rest: rest.select("x", "y")):
+        pairs = keep(_apart(pairs, parts, checked.select("x", "y")), "pairs")
+        if pairs.isEmpty():
+            break
+        checked = checked.union(keep(verify(texts, chosen(pairs), k, percent), "checked"))
+        parts = _parts(checked.where("linked"))
+    classes = classes.join(parts, "rep", "left").select("a", "b", F.coalesce("grp", "rep").alias("component"))
     return signed.join(classes, ["a", "b"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
