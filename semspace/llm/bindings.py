@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import jaccard, lines, mixing, packing, quality
+from . import jaccard, lines, mixing, neighbours, packing, quality, warc
 from .common import documents, keep, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,25 @@ def _register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(strlen(html), 0) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM m
+"""
+
+
+@_register(OP1_SQL)
+def op1_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@_register()
+def op2_sign_hash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @_register()
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))

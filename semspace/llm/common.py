@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import materialize, scratch_path, shared_dir
 
-__all__ = ["BITMAP_BITS", "Words", "bitmap", "components", "documents", "drop", "flat", "in_bitmap", "keep", "mix", "scratch_path", "seq_hash",
+__all__ = ["BITMAP_BITS", "Words", "bitmap", "components", "documents", "drop", "flat", "in_bitmap", "keep", "mix", "runs", "scratch_path", "seq_hash",
            "shared_dir", "slices", "table", "to_long"]
 
 SLICE_BYTES = 1 << 20  # bytes of text that a kernel takes at once; one longer row is a slice of its own
@@ -137,6 +137,27 @@ class Words:
         return rows, mix(seq_hash(self.hash, lo, hi) + (hi - lo).astype(np.uint64))
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """The complete groups of rows with equal ``keys``, as far as each batch reaches. Rows are sorted by the
+    keys; a group is held while it is incomplete, so groups must be of bounded size."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        if held:
+            batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        new = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            x = batch.column(key).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        held = [batch.slice(cuts[-1])]
+        if len(cuts) > 1:
+            yield [batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    if held:
+        yield held
+
+
 def bitmap(places: DataFrame) -> Broadcast:
     """Broadcast bitmap of fixed size (4 MB) with the bits ``at`` of ``places`` set: a filter before a
     join. Beyond its capacity it lets more rows through, never fewer."""
