@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import jaccard, lines, mixing, neighbours, packing, quality, warc
+from . import jaccard, lines, mixing, neighbours, packing, quality, rules, secrets, separators, warc
 from .common import documents, keep, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,53 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removed_lines(documents(spark, sf_dir)).drop("h")
 
 
+_EITHER = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_PATTERNS = (
+    r"""(?s)(.*?)(%s["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))""" % _EITHER,
+    r"(?s)(.*?)(AKIA[A-Z0-9]{14,})",
+    r"(?s)(.*?)([0-9a-f]{16,})",
+    r"(?s)(.*?)([A-Za-z0-9+/]{40,})",
+    r"""(?s)(.*?)(https?://[^\x20\x09-\x0D"''<>]+)""",
+)
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS kind, unnest(regexp_extract_all(t, '{p}', 0)) AS a, unnest(regexp_extract_all(t, '{p}', 1)) AS g, "
+    f"unnest(regexp_extract_all(t, '{p}', {4 if k == 0 else 2})) AS v, "
+    f"unnest(range(len(regexp_extract_all(t, '{p}', 0)))) AS i FROM d"
+    for k, p in enumerate(_PATTERNS))
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_FOUND}),
+p AS (SELECT *, (sum(length(a)) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS stop FROM f),
+s AS (SELECT doc_id, kind, stop - length(a) + length(g) AS start, stop FROM p
+      WHERE CASE kind WHEN 0 THEN length(v) >= 12 WHEN 3 THEN length(v) = 40 ELSE true END),
+r AS (SELECT * FROM s WHERE kind < 3 OR (kind = 3 AND EXISTS (SELECT 1 FROM s x WHERE x.doc_id = s.doc_id AND x.kind = 1
+          AND abs(x.start - s.start) <= 400))
+      OR (kind = 4 AND EXISTS (SELECT 1 FROM s x WHERE x.doc_id = s.doc_id AND x.kind = 1 AND abs(x.start - s.start) <= 400)
+          AND EXISTS (SELECT 1 FROM s x WHERE x.doc_id = s.doc_id AND x.kind IN (0, 2, 3) AND abs(x.start - s.start) <= 400))),
+n AS (SELECT doc_id, kind, start, (['assign', 'access', 'hex', 'weak', 'endpoint'])[kind + 1] || ':' || start || ':' || stop AS x FROM r),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             count(*) FILTER (kind > 2) AS n_linked, string_agg(x, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+             string_agg(x, ',' ORDER BY start, kind) AS spans FROM n GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+@_register(OP7_SQL)
+def op7_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
 @_register()
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
+@_register()
+def op9_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@_register()
+def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(documents(spark, sf_dir))
