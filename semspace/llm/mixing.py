@@ -21,8 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARE = 1.5
-LIMIT = 2
+from ..operators.small import small_broadcast
+from .common import keep
+
 SEED = "mix-1"
 RANGES = 4096
 
@@ -81,6 +82,8 @@ def allocate(rows: DataFrame) -> DataFrame:
     stats = per_source.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("source").alias("t"), "source_size", "target", "whole", "rest",
         F.coalesce("c.bucket", F.lit(RANGES + 1)).alias("at"), F.coalesce("c.base", F.lit(0)).alias("base"))
+    # a row per source: broadcast while they are few, so that a source with a third of all rows stays spread
+    stats = small_broadcast(keep(stats, "sources"))
     joined = rows.join(stats, F.col("source").eqNullSafe(F.col("t"))).drop("t")
     sure = joined.where("bucket <> at").withColumn("more", (F.col("bucket") < F.col("at")).cast("int"))
     order = Window.partitionBy("source").orderBy("rank", "size", "id").rowsBetween(Window.unboundedPreceding, 0)
