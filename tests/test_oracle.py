@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry_point
+from semspace.bindings import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL_FREE = {"explained_variance", "kmeans_clusters", "layout_pca", "lsa_embed", "pca_reduce", "reach_closure"}
@@ -18,13 +19,13 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, con):
     ok, note = compare(name, spark, con, SF)
     assert ok, note
 
 
 def test_contract(spark):
-    queries, oracle = entry_point.queries(), entry_point.oracle_sql()
-    assert set(queries) - set(oracle) == SQL_FREE
+    assert set(QUERIES) - set(ORACLE) == SQL_FREE
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLE) <= set(entry_point.oracle_sql())
     assert entry_point.entry(spark).columns == ["item_id", "rank", "anchor_idx", "z"]
