@@ -89,7 +89,7 @@ def allocate(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("source").orderBy("rank", "size", "id").rowsBetween(Window.unboundedPreceding, 0)
     edge = joined.where("bucket = at").withColumn("until", F.col("base") + F.sum("size").over(order))
     edge = edge.withColumn("more", (F.col("until") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("until")
-    return sure.unionByName(edge).select("row", "size", "source_size", "target", (F.col("whole") + F.col("more")).cast("int").alias("copies"))
+    return sure.unionByName(edge).select("row", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0).cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:

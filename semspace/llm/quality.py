@@ -136,7 +136,7 @@ def fit(labelled: pa.Table) -> Model:
     dense = _standard(m, stats)
     m.w0 = float(np.log(y.mean() / (1 - y.mean())))
     gw, gv = np.full(SPACE + N_STATS, 1e-6), np.full((SPACE + N_STATS, RANK), 1e-6)
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // n))):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-n // BATCH)))):
         order = rng.permutation(n)
         for lo in range(0, n, BATCH):
             pick = order[lo: lo + BATCH]
