@@ -23,11 +23,12 @@ from .common import keep
 KINDS = ("assign", "access", "hex", "weak", "endpoint")
 SCOPE = 400
 
-_ASSIGN = (r"""(?s)(.*?)((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
-_ACCESS = r"(?s)(.*?)(AKIA[A-Z0-9]{14,})"
-_HEX = r"(?s)(.*?)([0-9a-f]{16,})"
-_WEAK = r"(?s)(.*?)([A-Za-z0-9+/]{40,})"
-_ENDPOINT = r"""(?s)(.*?)(https?://[^\x20\x09-\x0D"'<>]+)"""
+# the end of the text ends the last gap: without it, what follows the last match would be tried from every place
+_ASSIGN = (r"""(?s)(.*?)(?:((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))|\z)""")
+_ACCESS = r"(?s)(.*?)(?:(AKIA[A-Z0-9]{14,})|\z)"
+_HEX = r"(?s)(.*?)(?:([0-9a-f]{16,})|\z)"
+_WEAK = r"(?s)(.*?)(?:([A-Za-z0-9+/]{40,})|\z)"
+_ENDPOINT = r"""(?s)(.*?)(?:(https?://[^\x20\x09-\x0D"'<>]+)|\z)"""
 
 
 def _lengths(text: Column, pattern: str, group: int) -> Column:
@@ -62,7 +63,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         every = every.unionByName(part)
     run = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = every.select("rid", "kind", "m.*", F.sum("m.through").over(run).alias("end"))
-    least = F.when(F.col("kind") == 0, F.col("value") >= 12).when(F.col("kind") == 3, F.col("value") == 40).otherwise(F.lit(True))
+    least = F.when(F.col("kind") == 0, F.col("value") >= 12).when(F.col("kind") == 3, F.col("value") == 40).otherwise(F.col("value") > 0)
     placed = placed.where(least).select("rid", "kind", (F.col("end") - F.col("through") + F.col("gap")).alias("start"), "end")
     return table.select("rid", "doc_id"), keep(placed, "spans")
 

@@ -33,6 +33,7 @@ from .common import keep, scratch_path
 
 LEAST_REVISIT = 1000
 CHUNK = 1 << 16
+BLOCK = 1 << 12  # compressed bytes inflated at once: at most about a thousand times as many come out
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the table has no capture times
 
@@ -112,11 +113,10 @@ class _Inflate:
         while True:
             if self.member.eof:
                 self.raw, self.member = self.member.unused_data + self.raw, zlib.decompressobj(31)
-            raw = self.raw or self.stream.read(CHUNK)
+            raw, self.raw = self.raw or self.stream.read(BLOCK), b""
             if not raw:
                 return False
-            block = self.member.decompress(raw, CHUNK)
-            self.raw = self.member.unconsumed_tail
+            block = self.member.decompress(raw)
             if block:
                 self.held += block
                 return True
