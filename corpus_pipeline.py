@@ -5,37 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from semspace.llm import jaccard, lines, mixing, packing, quality
-from semspace.llm.common import documents, keep, table
-from semspace.session import ship
+from semspace.llm.common import documents, keep, prepare, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    ship(spark)
+    prepare(spark)
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that came earlier; documents of which nothing is left go."""
-    ship(spark)
+    prepare(spark)
     return lines.without_removed(docs)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the smallest doc_id."""
-    ship(spark)
+    prepare(spark)
     return jaccard.keep_one_of_each_group(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    ship(spark)
+    prepare(spark)
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
-    ship(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 

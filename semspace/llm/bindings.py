@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
 from . import jaccard, lines, mixing, neighbours, packing, quality, rules, secrets, separators, warc
-from .common import documents, keep, table
+from .common import documents, keep, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +19,7 @@ ORACLE: dict[str, str] = {}
 def _register(sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(ship(spark), sf_dir)
+            return fn(prepare(spark), sf_dir)
 
         QUERIES[fn.__name__] = run
         if sql is not None:

@@ -16,13 +16,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ..sources.storage import materialize, scratch_path, shared_dir
 
-__all__ = ["BITMAP_BITS", "Words", "bitmap", "components", "documents", "drop", "flat", "in_bitmap", "keep", "mix", "runs", "scratch_path", "seq_hash",
+__all__ = ["BITMAP_BITS", "Words", "bitmap", "components", "documents", "drop", "flat", "in_bitmap", "keep", "mix", "prepare", "runs", "scratch_path", "seq_hash",
            "shared_dir", "slices", "table", "to_long"]
 
-SLICE_BYTES = 1 << 20  # bytes of text that a kernel takes at once; one longer row is a slice of its own
+SLICE_BYTES = 1 << 18  # bytes of text that a kernel takes at once; one longer row is a slice of its own
 BITMAP_BITS = 1 << 25
+BATCH_ROWS = 1000  # rows that go to Python at once: texts and sets are long
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -35,6 +37,15 @@ _LOWER[65:91] = _BYTE[97:123]
 _powers: dict[int, np.ndarray] = {}
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Make the package importable in the workers and, unless the session sets it, bound the rows that a
+    batch brings to Python (Spark's own 10,000 whole texts or sets would be tens of MB)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -62,7 +62,7 @@ def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
             for lo, hi, data, offsets in slices(batch.column(0)):
                 parts.append(Words(data, offsets, lower=True).shingles(k)[1])
                 held += len(parts[-1])
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield report(parts)
                     parts, held = [], 0
             if parts:
