@@ -21,7 +21,7 @@ SQL_STRIPPED = f"trim(coalesce({SQL_DESCRIPTION}, ''), ' ' || chr(9) || chr(10))
 
 
 @register(f"""SELECT doc_id, CASE WHEN length({SQL_STRIPPED}) > 0
-                THEN source || '. ' || left({SQL_STRIPPED}, 8000) ELSE source END AS item_text FROM documents""")
+                THEN source || '. ' || {SQL_STRIPPED} ELSE source END AS item_text FROM documents""")
 def item_text(spark, sf):
     return D.documents(spark, sf).select("doc_id", T.item_text(F.col("source"), description()).alias("item_text"))
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
-TEXT_LIMIT = 8000
-SHORT_LIMIT = 240
+SHORT_LIMIT = 240  # fixed value: the length of a short text
+# Fixed value: how numbers are written; Java would also take suffixes ("1d") and hexadecimals.
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 
 
 def na_to_null(c: Column, tokens: Iterable[str] = NA_TOKENS) -> Column:
@@ -26,12 +27,14 @@ def strip(c: Column) -> Column:
 
 def try_number(c: Column) -> Column:
     """Lenient parse: text that is no number, and NaN, become null."""
-    value = c.cast("string").try_cast("double")
-    return F.when(~F.isnan(value), value)
+    text = c.cast("string")
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def item_text(name: Column, description: Column, limit: int = TEXT_LIMIT) -> Column:
-    body = F.substring(strip(F.coalesce(description, F.lit(""))), 1, limit)
+def item_text(name: Column, description: Column, limit: int | None = None) -> Column:
+    """Name and whole description; ``limit`` cuts the description for an embedder that needs it."""
+    body = strip(F.coalesce(description, F.lit("")))
+    body = body if limit is None else F.substring(body, 1, limit)
     return F.when(F.length(body) > 0, F.concat(name, F.lit(". "), body)).otherwise(name)
 
 

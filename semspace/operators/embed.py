@@ -29,13 +29,12 @@ def hashing_embedder(dim: int) -> Embedder:
 
 
 def embed(texts: DataFrame, fn: Embedder, dim: int, model: str, done: DataFrame | None = None,
-          on_error: str = "skip", workers: int | None = 24, batch_rows: int = 64) -> DataFrame:
+          on_error: str = "skip", workers: int | None = None, batch_rows: int = 64) -> DataFrame:
     """Vectors of the texts that have none in ``done``: (item_id, v, model, dim, error).
 
     ``fn`` maps a batch of texts to a matrix. A batch that fails is retried text by text; with
     ``on_error='skip'`` a failing text becomes a row with its error and no vector, with
-    ``'raise'`` the run stops. ``workers`` is the number of tasks the work list is split into, None
-    leaves its partitions as they are. Vectors are normalised when their norm is above zero.
+    ``'raise'`` the run stops. ``workers`` splits the work list into that many tasks; by default its partitions stay. Vectors are normalised when their norm is above zero.
     """
     if on_error not in ("skip", "raise"):
         raise ValueError(on_error)

@@ -10,6 +10,7 @@ from .small import MAX_BROADCAST_ROWS
 
 HOT_KEYS = 4096
 HOT_ROWS = 1_000_000
+NULL_SALTS = 1 << 16  # rows without a key match nothing; they are spread over all tasks
 
 
 def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[tuple]:
@@ -27,15 +28,21 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left
                   hot_rows: int = HOT_ROWS, hot: list[tuple] | None = None) -> DataFrame:
     """Join ``rows`` to ``lookup`` (unique on ``key``), splitting hot keys into salts.
 
-    Only the look-up rows of hot keys are repeated, once per salt. Without hot keys this is the
-    plain join. ``hot``: the result of ``hot_keys`` when it is known already.
+    Only the look-up rows of hot keys are repeated, once per salt. Rows with a null key are spread by
+    a hash of the row. ``hot``: the result of ``hot_keys`` when it is known already.
     """
     hot = hot_keys(rows, key, hot_rows) if hot is None else hot
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(NULL_SALTS))
     if not hot:
-        return rows.join(lookup, key, how)
+        if how != "left":
+            return rows.join(lookup, key, how)
+        left = rows.withColumn("_salt", F.when(F.col(key).isNull(), spread).otherwise(F.lit(0).cast("long")))
+        right = lookup.withColumn("_salt", F.lit(0).cast("long"))
+        return left.join(right, [key, "_salt"], how).drop("_salt")
     salts = F.broadcast(rows.sparkSession.createDataFrame(  # at most 4096 rows
         hot, T.StructType([rows.schema[key], T.StructField("_salts", T.LongType())])))
-    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce(F.col("_salts"), F.lit(1)))
+    salt = F.when(F.col(key).isNull(), spread).otherwise(
+        F.pmod(F.xxhash64(*rows.columns), F.coalesce(F.col("_salts"), F.lit(1))))
     left = rows.join(salts, key, "left").withColumn("_salt", salt).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     right = lookup.join(salts, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")

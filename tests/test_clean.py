@@ -25,7 +25,8 @@ def test_item_text_forms(spark):
     full, plain = T.item_text(F.lit("N"), F.col("t")), T.item_text_plain(F.lit("N"), F.col("t"))
     assert one(spark, full, t="  d ") == "N. d" and one(spark, plain, t="  d ") == "N.   d "
     assert one(spark, full, t=None) == "N" and one(spark, plain, t=None) == "N. "
-    assert one(spark, full, t="x" * 9000) == "N. " + "x" * 8000
+    assert one(spark, full, t="x" * 9000) == "N. " + "x" * 9000
+    assert one(spark, T.item_text(F.lit("N"), F.col("t"), 8000), t="x" * 9000) == "N. " + "x" * 8000
 
 
 def test_numbers_and_missing_tokens(spark):
@@ -93,3 +94,19 @@ def test_row_parity(spark):
     a, b = spark.range(3).toDF("k"), spark.range(1, 5).toDF("k")
     assert sorted(map(tuple, C.row_parity(a, b, "k").collect())) == [(0, "left"), (3, "right"), (4, "right")]
     assert C.row_parity(a, a, "k").count() == 0
+
+
+def test_numbers_have_no_suffix(spark):
+    texts = ["1d", "2.5f", "0x1p3", "3.", ".5", "-1e3", " 7 ", "inf", "nan", "", "1e", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.try_number(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [None, None, None, 3.0, 0.5, -1000.0, 7.0, float("inf"), None, None, None, None]
+
+
+def test_rows_without_key_keep_their_place(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 1), ("a", 2), ("b", 3)], "k string, n int")
+    found = spark.createDataFrame([("a", 10), (None, 20)], "k string, m int")
+    want = [(None, 1, None), (None, 1, None), ("a", 2, 10), ("b", 3, None)]
+    for hot in (None, [("a", 3)]):
+        got = salted_lookup(rows, found, "k", "left", hot=hot)
+        assert got.columns == ["k", "n", "m"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
