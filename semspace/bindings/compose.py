@@ -104,7 +104,7 @@ def expand_round(spark, sf):
                   ORDER BY round(list_dot_product(un.v, re.v), 9) DESC, re.item_idx) AS r FROM un, re) WHERE r = 1""")
 def hub_candidates(spark, sf):
     whole, one, two = first_rounds(spark, sf)
-    return M.hub_candidates(whole, one.select("item_idx").unionByName(two.select("item_idx")), sample=None)
+    return M.hub_candidates(whole, one.select("item_idx").unionByName(two.select("item_idx"))).select("item_idx")
 
 
 @register(f"""WITH {D.EXPANSION} SELECT kind, count(*) AS items, round(avg(CASE WHEN r.item_idx IS NULL THEN 0 ELSE 1 END),
@@ -120,6 +120,32 @@ def reach_closure(spark, sf):
     return M.reach_closure(D.universe(spark, sf), D.seeds(spark, sf)).recipes
 
 
+# with the seeds as the only anchors an item leads to one item per seed
+@register(f"""WITH RECURSIVE {D.SEED_ROUND},
+              moves AS (SELECT f.item_idx AS a_idx, s.seed_idx AS b_idx, {D.vec_sum("f.v", "s.v")} AS v FROM u f, seeds s),
+              mu AS (SELECT a_idx, b_idx, {D.unit("v")} AS v FROM moves),
+              step AS (SELECT a_idx, item_idx FROM (
+                         SELECT a_idx, b_idx, u.item_idx, row_number() OVER (PARTITION BY a_idx, b_idx
+                           ORDER BY round(list_dot_product(mu.v, u.v), 9) DESC, u.item_idx) AS r
+                         FROM mu JOIN u ON u.item_idx <> a_idx) WHERE r = 1),
+              r AS (SELECT item_idx FROM seed_hits UNION SELECT step.item_idx FROM r JOIN step ON step.a_idx = r.item_idx)
+              SELECT u.item_idx, r.item_idx IS NOT NULL AS reached FROM u LEFT JOIN r ON r.item_idx = u.item_idx""")
+def reach_by_seeds(spark, sf):
+    done = M.reach_closure(D.universe(spark, sf), D.seeds(spark, sf), hub_step=0)
+    return done.recipes.select("item_idx", F.col("a_kind").isNotNull().alias("reached"))
+
+
+# every item of these tables can be reached, and its recipe gives it again
+@register(f"WITH {D.UNIVERSE} SELECT item_idx, item_idx AS result_idx FROM u")
+def closure_replay(spark, sf):
+    whole, start = D.universe(spark, sf), D.seeds(spark, sf)
+    recipes = M.reach_closure(whole, start).recipes
+    pairs = recipes.select(F.col("item_idx").alias("pair_id"), *[
+        M.element_key(F.col(f"{s}_kind"), F.col(f"{s}_idx")).alias(f"{s}_key") for s in "ab"])
+    found = M.combine_pairs(pairs, M.elements(start, whole), index_of(whole))
+    return found.select(F.col("pair_id").alias("item_idx"), "result_idx")
+
+
 @register(f"""WITH {D.FOUND} SELECT DISTINCT user_id, item_idx FROM found f WHERE NOT EXISTS (
                 SELECT 1 FROM found o WHERE o.event_type = 'view' AND o.user_id = f.user_id AND o.item_idx = f.item_idx)""")
 def new_discoveries(spark, sf):

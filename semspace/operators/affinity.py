@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrow import arrow_type, batches, matrix, unit_rows, vector_column
+from ..sources.storage import materialize
 from .skew import legend_lookup
 from .small import MAX_DIMENSION_BYTES, load_dimension
 
@@ -77,16 +78,23 @@ def affinity(items: DataFrame, anchors: DataFrame, item_id: str = "item_id", ker
 def _affinity_tiled(items: DataFrame, anchors: DataFrame, item_id: str, score, tile_rows: int) -> DataFrame:
     """The same for anchors too many to broadcast: tiles of anchors meet bounded chunks of items
     in a co-group, and the pieces of each item's array are put together again."""
-    tiles = math.ceil(anchors.count() / tile_rows)
+    at = anchors.agg(F.count("*").alias("n"), F.count_distinct("anchor_idx").alias("ids"),
+                     F.min("anchor_idx").alias("lo"), F.max("anchor_idx").alias("hi")).first()
+    if not at["n"] or (at["ids"], at["lo"], at["hi"]) != (at["n"], 0, at["n"] - 1):
+        raise ValueError("anchor_idx must be dense from 0")
+    tiles = math.ceil(at["n"] / tile_rows)
+    # the row number keeps rows with one item_id apart when their pieces are put together
+    items = materialize(items.select(item_id, "v").withColumn("row", F.monotonically_increasing_id()), "items")
     chunks = max(1, math.ceil(items.count() / tile_rows))
-    left = (items.select(item_id, "v")
-            .withColumn("chunk", F.pmod(F.xxhash64(item_id), F.lit(chunks)).cast("int"))
+    left = (items
+            .withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
             .withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))))
     right = (anchors.select("anchor_idx", "v")
              .withColumn("tile", F.floor(F.col("anchor_idx") / tile_rows).cast("int"))
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
     key_type = arrow_type(items, item_id)
-    target = pa.schema([(item_id, key_type), ("tile", pa.int32()), ("a", pa.list_(pa.float64()))])
+    target = pa.schema([(item_id, key_type), ("row", pa.int64()), ("tile", pa.int32()),
+                        ("a", pa.list_(pa.float64()))])
 
     def product(key, some_items: pa.Table, some_anchors: pa.Table) -> pa.Table:
         if not some_items.num_rows or not some_anchors.num_rows:
@@ -98,15 +106,17 @@ def _affinity_tiled(items: DataFrame, anchors: DataFrame, item_id: str, score, t
             a = score(matrix(batch.column("v")), held)
             tile = pa.array(np.full(batch.num_rows, key[0].as_py(), np.int32))
             parts.append(pa.Table.from_arrays(
-                [batch.column(item_id).cast(key_type), tile, vector_column(a)], schema=target))
+                [batch.column(item_id).cast(key_type), batch.column("row"), tile, vector_column(a)], schema=target))
         return pa.concat_tables(parts)
 
-    schema = T.StructType([items.schema[item_id], T.StructField("tile", T.IntegerType()),
+    schema = T.StructType([items.schema[item_id], T.StructField("row", T.LongType()),
+                           T.StructField("tile", T.IntegerType()),
                            T.StructField("a", T.ArrayType(T.DoubleType()))])
     pieces = (left.groupBy("tile", "chunk").cogroup(right.groupBy("tile", "chunk"))
               .applyInArrow(product, schema))
     whole = F.sort_array(F.collect_list(F.struct("tile", "a")))
-    return pieces.groupBy(item_id).agg(F.flatten(F.transform(whole, lambda p: p["a"])).alias("a"))
+    joined = pieces.groupBy(item_id, "row").agg(F.flatten(F.transform(whole, lambda p: p["a"])).alias("a"))
+    return joined.drop("row")
 
 
 def long_form(df: DataFrame, column: str, index: str, value: str, item_id: str = "item_id") -> DataFrame:

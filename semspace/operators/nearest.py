@@ -37,7 +37,7 @@ class NearestIndex:
     them all).
     """
 
-    def __init__(self, items: DataFrame, metric: str = "cosine", copies_kept: int = 16,
+    def __init__(self, items: DataFrame, metric: str = "cosine", copies_kept: int = 0,
                  max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int | None = None,
                  query_rows: int | None = None, pivots: int | None = None):
         self.spark = items.sparkSession
@@ -238,6 +238,8 @@ class NearestIndex:
         """``queries``: a unique id column, ``v`` and optionally ``exclude array<bigint>``, the item
         ids ruled out for that row. Returns (qid, idx, score, rank), scores strictly above
         ``floor``, equal scores by lower idx."""
+        if self.copies_kept and k > self.copies_kept:
+            raise ValueError(f"k is {k}, copies_kept is {self.copies_kept}")
         keep = [qid, F.col("v")]
         if "exclude" in queries.columns:
             keep.append(F.col("exclude"))

@@ -62,9 +62,10 @@ class Craft:
 
 
 def build(words: DataFrame, anchors: DataFrame, items: DataFrame, seeds: DataFrame, dim: int = 48,
-          require_complete: bool = False, closures: str | None = None) -> Craft:
+          require_complete: bool = True, closures: str | None = None) -> Craft:
     """``words``, ``anchors``, ``items``: (ord, name, v) each; ``seeds``: (seed_idx, name, v). The
-    axes are fitted on the items only and applied to everything. ``closures``: a folder of finished
+    axes are fitted on the items only and applied to everything. ``require_complete``: an error
+    unless every item is reached. ``closures``: a folder of finished
     closures to reuse."""
     fitted = fit_pca(items, dim)
     whole = craft_universe(("word", words), ("genre", anchors), ("item", items))

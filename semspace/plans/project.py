@@ -49,8 +49,11 @@ def project(vectors: DataFrame, features: DataFrame, anchors: DataFrame, groups:
     group_key, v); ``groups``: (group_idx, group_key, key, label, color).
 
     The standardised affinities are written once and feed ranking, layout and clusters; the
-    neighbour graph uses the full vectors.
+    neighbour graph uses the full vectors. Where both sides name their model and dimension, these
+    must be the same.
     """
+    if {"model", "dim"} <= set(vectors.columns) & set(anchors.columns):
+        A.check_same_space(vectors, anchors)
     items = materialize(dense_index(vectors.select("item_id", "v"), ["item_id"], "i"), "items")
     z = materialize(A.anchor_zscore(materialize(A.affinity(items, anchors), "affinity")), "z")
     n = items.count()

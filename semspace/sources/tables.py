@@ -39,23 +39,27 @@ def locate_datasets(spark: SparkSession, root: str, name: str) -> list[str]:
 
 
 def scan_csv(spark: SparkSession, path: str, multiline: bool = False,
-             na_tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
+             na_tokens: Iterable[str] = NA_TOKENS, ordered: bool = False) -> DataFrame:
     """All columns as text, missing-value tokens as null. ``multiline`` admits quoted line breaks
-    but makes each file one split, so large tables should come as many files."""
+    but makes each file one split, so large tables should come as many files. ``ordered`` adds
+    ``_ord``, the place of a row: file by name, split, row."""
     df = (spark.read.option("header", True).option("multiLine", multiline).option("quote", '"')
           .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
           .option("ignoreTrailingWhiteSpace", False).csv(path))
     tokens = tuple(na_tokens)
-    return df.select(*[na_to_null(F.col(f"`{c}`"), tokens).alias(c) for c in df.columns])
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                     F.monotonically_increasing_id().alias("row"))
+    return df.select(*[na_to_null(F.col(f"`{c}`"), tokens).alias(c) for c in df.columns],
+                     *[place.alias("_ord")] * ordered)
 
 
 def read_catalogue(spark: SparkSession, path: str, order: str | None = None,
                    na_tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
     """items(item_id, name, description, ord): header normalised, rows without id or name
     dropped, first row of each id kept. ``order`` names an order column; without one the order is
-    that of the file."""
-    raw = normalize_header(scan_csv(spark, path, multiline=True, na_tokens=na_tokens), CATALOGUE_NAMES)
-    ord_ = F.col(order).cast("long") if order else F.monotonically_increasing_id()
+    that of the files by name and of the rows in each."""
+    raw = normalize_header(scan_csv(spark, path, True, na_tokens, ordered=True), CATALOGUE_NAMES)
+    ord_ = F.col(order).cast("long") if order else F.col("_ord")
     items = raw.select("item_id", "name", "description", ord_.alias("ord"))
     return keep_first(drop_missing(items, items.columns, ["item_id", "name"]), ["item_id"], "ord")
 
@@ -81,15 +85,15 @@ def read_occurrences(spark: SparkSession, path: str, key: str = "trope_id") -> D
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """(name, score text, ord); empty when the file or a score column is missing."""
-    schema = "name string, score string, ord long"
+    schema = "name string, score string, ord struct<file: string, split: long, row: long>"
 
     def read() -> DataFrame:
-        df = normalize_header(scan_csv(spark, path, multiline=True))
+        df = normalize_header(scan_csv(spark, path, multiline=True, ordered=True))
         name, score = find_score_columns(df.columns)
         if score is None:
             return spark.createDataFrame([], schema)
         return df.select(F.col(f"`{name}`").alias("name"), F.col(f"`{score}`").alias("score"),
-                         F.monotonically_increasing_id().alias("ord"))
+                         F.col("_ord").alias("ord"))
 
     return if_exists(read, schema, spark)
 

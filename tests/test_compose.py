@@ -34,25 +34,61 @@ def model_closure(v, r):
             if hit not in parents:
                 parents[hit] = (0, i, 0, j)
                 frontier.append(hit)
-    anchors = [(0, i, r[i]) for i in range(len(r))]
+    anchors, hubs = [(0, i, r[i]) for i in range(len(r))], set()
+    used, width = anchors, 1
     while True:
+        new = 0
         while frontier:
             found = []
-            for kind, idx, a in anchors:
+            for kind, idx, a in used:
                 for f in frontier:
                     hit = nearest(v, v[f] + a, (f, idx) if kind else (f,))
                     if hit not in parents:
                         parents[hit] = (1, f, kind, idx)
                         found.append(hit)
-            frontier = found
+            frontier, used, new = found, anchors, new + len(found)
+        if hubs and not new:
+            width *= 2
         missing = [i for i in range(len(v)) if i not in parents]
-        have = sorted(parents)
-        hubs = sorted({have[nearest(v[have], v[m])] for m in missing})
-        new = [h for h in hubs if not any(k == 1 and i == h for k, i, _ in anchors)]
-        if not missing or not new:
+        have = np.array([i for i in sorted(parents) if i not in hubs], int)
+        if not missing or not len(have):
             return parents
-        anchors += [(1, h, v[h]) for h in new]
-        frontier = have
+        best = np.argsort(-np.round(v[missing] @ v[have].T, 9), axis=1, kind="stable")[:, :width]
+        used = [(1, h, v[h]) for h in sorted(set(have[best].ravel().tolist()))]
+        hubs |= {h for _, h, _ in used}
+        anchors = anchors + used
+        frontier = sorted(parents)
+
+
+def fixed_point(v, r):
+    """Everything that pairs of reached elements reach, whatever the order."""
+    def hits(base, own, a):
+        scores = np.round(unit(base + a) @ v.T, 9)
+        scores[np.arange(len(base))[:, None], own] = -9
+        return set(scores.argmax(1).tolist())
+
+    reached = {nearest(v, a + b) for a in r for b in r}
+    while True:
+        have = np.array(sorted(reached))
+        new = set().union(*[hits(v[have], have[:, None], a) for a in r])
+        for h in have:
+            new |= hits(v[have], np.stack([have, np.full(len(have), h)], axis=1), v[h])
+        if new <= reached:
+            return reached
+        reached |= new
+
+
+def clustered(n, dim, centres, spread):
+    rng = np.random.default_rng(5)
+    return unit(unit(rng.standard_normal((centres, dim)))[rng.integers(0, centres, n)] + spread * rng.standard_normal((n, dim)))
+
+
+@pytest.mark.parametrize("hub_step", [400, 15])
+def test_closure_leaves_nothing_reachable_out(spark, hub_step):
+    v, r = clustered(40, 8, 4, 0.05), unit(np.random.default_rng(6).standard_normal((4, 8)))
+    done = M.reach_closure(frame(spark, v, "item_idx"), frame(spark, r, "seed_idx"), hub_step=hub_step)
+    got = {row["item_idx"] for row in done.recipes.where("a_kind is not null").collect()}
+    assert got == fixed_point(v, r)
 
 
 @pytest.mark.parametrize("index", [{}, BLOCKS])
@@ -175,7 +211,7 @@ def test_craft_plan_end_to_end(spark):
         return spark.createDataFrame([(i, f"n{i}", [float(x) for x in row]) for i, row in enumerate(m)],
                                      f"{key} long, name string, v array<double>")
 
-    made = craft.build(part(4), part(5), part(40), part(4, "seed_idx"), dim=5)
+    made = craft.build(part(4), part(5), part(40), part(4, "seed_idx"), dim=5, require_complete=False)
     rows = made.universe.orderBy("item_idx").toPandas()
     assert list(rows["kind"]) == ["word"] * 4 + ["genre"] * 5 + ["item"] * 40
     assert list(rows["item_idx"]) == list(range(49))

@@ -43,6 +43,13 @@ def test_feature_build(spark, dump, tmp_path):
     assert rows["t6"]["frac_film"] == 0.062 and rows["t6"]["frac_tv"] == 0.938  # 1/16 rounds half to even
 
 
+def test_first_row_comes_from_the_first_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("TropeID,Trope,Description\n1,First,x\n")
+    (tmp_path / "b.csv").write_text("TropeID,Trope,Description\n1,Second,x\n" + "2,Other,long text\n" * 3000)
+    got = tables.read_catalogue(spark, str(tmp_path / "*.csv")).collect()
+    assert {r["item_id"]: r["name"] for r in got} == {"1": "First", "2": "Other"}
+
+
 def test_locate_fails_without_catalogue(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.locate_datasets(spark, str(tmp_path), "tropes.csv")

@@ -74,6 +74,24 @@ def test_search_refuses_more_than_it_kept(spark):
         index.search(asked, 2).count()
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_broadcast_bytes": 0, "block_rows": 8, "pivots": 2}])
+def test_search_of_many_copies(spark, limits):
+    held = frame(spark, np.ones((30, 3)))
+    got = NearestIndex(held, **limits).search(frame(spark, np.ones((1, 3)), "qid"), 20).collect()
+    assert sorted(r["idx"] for r in got) == list(range(20))
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_broadcast_bytes": 0, "tile_rows": 2}])
+def test_affinity_both_ways(spark, limits):
+    items = frame(spark, np.array([[1.0, 0.0], [0.0, 1.0]]), "item_id").union(frame(spark, np.array([[1.0, 1.0]]), "item_id"))
+    anchors = frame(spark, np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]), "anchor_idx")
+    got = sorted((r["item_id"], *np.round(r["a"], 6)) for r in A.affinity(items, anchors, **limits).collect())
+    half = round(0.5 ** 0.5, 6)
+    assert got == [(0, 0.0 + half, half, -half), (0, 1, 0, -1), (1, 0, 1, 0)]
+    with pytest.raises(ValueError, match="dense"):
+        A.affinity(items, anchors.where("anchor_idx <> 1"), **limits).collect()
+
+
 def test_few_items_than_neighbours(spark):
     assert knn_graph(frame(spark, np.eye(3)), 10).count() == 6
     assert knn_graph(frame(spark, np.eye(1)), 10).count() == 0
