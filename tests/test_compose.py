@@ -93,7 +93,7 @@ def test_closure_leaves_nothing_reachable_out(spark, hub_step):
 
 @pytest.mark.parametrize("index", [{}, BLOCKS])
 def test_closure_equals_the_model(spark, index):
-    v, r = unit(RNG.standard_normal((25 if index else 80, 6))), unit(RNG.standard_normal((3, 6)))
+    v, r = unit(RNG.standard_normal((14 if index else 40, 6))), unit(RNG.standard_normal((3, 6)))
     done = M.reach_closure(frame(spark, v, "item_idx"), frame(spark, r, "seed_idx"), **index)
     got = {row["item_idx"]: (row["a_kind"], row["a_idx"], row["b_kind"], row["b_idx"])
            for row in done.recipes.where("a_kind is not null").collect()}
@@ -211,10 +211,10 @@ def test_craft_plan_end_to_end(spark):
         return spark.createDataFrame([(i, f"n{i}", [float(x) for x in row]) for i, row in enumerate(m)],
                                      f"{key} long, name string, v array<double>")
 
-    made = craft.build(part(4), part(5), part(40), part(4, "seed_idx"), dim=5, require_complete=False)
+    made = craft.build(part(4), part(5), part(15), part(4, "seed_idx"), dim=5, require_complete=False)
     rows = made.universe.orderBy("item_idx").toPandas()
-    assert list(rows["kind"]) == ["word"] * 4 + ["genre"] * 5 + ["item"] * 40
-    assert list(rows["item_idx"]) == list(range(49))
+    assert list(rows["kind"]) == ["word"] * 4 + ["genre"] * 5 + ["item"] * 15
+    assert list(rows["item_idx"]) == list(range(24))
     v, r = np.stack(rows["v"]), np.stack(made.seeds.orderBy("seed_idx").toPandas()["v"])
     assert max(abs(x) for q in rows["q"] for x in q) <= 127
     for row in made.closure.recipes.where("a_kind is not null").collect():  # replay
