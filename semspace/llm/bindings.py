@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, mixing, neighbours, packing, quality, rules, secrets, separators, warc
+from . import audit, fingerprints, jaccard, lines, merkle, mixing, neighbours, packing, quality, rules, secrets, separators, warc
 from .common import documents, keep, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,96 @@ def op9_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register()
 def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(documents(spark, sf_dir))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER best = 1 AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW best AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id NULLS LAST)
+"""
+
+
+@_register(OP11_SQL)
+def op11_golomb_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.exact_groups(documents(spark, sf_dir))
+
+
+_LETTERS = ", ".join(f"('{c}', {1 << k})" for k, c in enumerate(audit.FILTERS))
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps,
+             min(doc_id) OVER (PARTITION BY t) AS least FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * caps > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN w.doc_id > least THEN 16 ELSE 0 END AS mask FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM m GROUP BY part, mask),
+f(x, b) AS (VALUES {_LETTERS}),
+p AS (SELECT f1.x || f2.x || f3.x || f4.x || f5.x AS filter_order, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bits
+      FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.b + f2.b + f3.b + f4.b + f5.b = 31
+      AND length(f1.x || f2.x || f3.x || f4.x || f5.x) = 5 AND len(list_distinct([f1.b, f2.b, f3.b, f4.b, f5.b])) = 5),
+s AS (SELECT filter_order, step::INT AS step, bits[step] AS b, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS prior
+      FROM p, range(1, 6) r(step)),
+o AS (SELECT part, filter_order, step, b, n, good, toxic, mask, (mask & b) > 0 AS fails, (mask & prior) > 0 AS gone FROM c, s),
+g AS (SELECT part, filter_order, step, b, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (mask = b), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM o GROUP BY part, filter_order, step, b)
+SELECT * EXCLUDE (b), (sum(removed) OVER (PARTITION BY part, b))::BIGINT AS shapley FROM g
+"""
+
+
+@_register(OP12_SQL)
+def op12_packed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+_CRC_BIT = "CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]), "
+        "lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda v, i: " + _CRC_BIT + ")), 4294967295)")
+
+
+def _leaf_sql(text: str) -> str:
+    fields = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({fields})"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN
+       {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+o AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+n AS (SELECT tree, 0 AS lv, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS size FROM o
+      UNION ALL
+      SELECT tree, lv + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), any_value((size + 7) // 8) FROM n WHERE size > 1
+      GROUP BY tree, lv, pos // 8),
+r AS (SELECT tree, lv, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM n WHERE size > 1 GROUP BY tree, lv, pos // 8),
+sub AS (SELECT tree, lv AS height, h AS subroot FROM n WHERE size = 1),
+u AS (SELECT 0 AS lv, tree AS pos, subroot AS h, count(*) OVER () AS size FROM sub
+      UNION ALL
+      SELECT lv + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), any_value((size + 7) // 8) FROM u WHERE size > 1 GROUP BY lv, pos // 8),
+ur AS (SELECT lv, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM u WHERE size > 1 GROUP BY lv, pos // 8),
+top AS (SELECT h AS root FROM u WHERE size = 1),
+f AS (SELECT doc_id, leaf, tree, pos AS leaf_pos, 0 AS lv, pos, coalesce(changed, leaf) AS v, '' AS sib FROM o
+      UNION ALL
+      SELECT doc_id, leaf, f.tree, leaf_pos, f.lv + 1, pos // 8,
+             sha256(array_to_string(hs[1:pos % 8], '') || v || array_to_string(hs[pos % 8 + 2:], '')),
+             sib || array_to_string(hs[1:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '')
+      FROM f JOIN r ON r.tree = f.tree AND r.lv = f.lv AND r.run = f.pos // 8),
+g AS (SELECT doc_id, leaf, f.tree, leaf_pos, subroot, 0 AS lv, f.tree AS pos, v, sib FROM f JOIN sub ON sub.tree = f.tree AND sub.height = f.lv
+      UNION ALL
+      SELECT doc_id, leaf, tree, leaf_pos, subroot, g.lv + 1, pos // 8,
+             sha256(array_to_string(hs[1:pos % 8], '') || v || array_to_string(hs[pos % 8 + 2:], '')),
+             sib || array_to_string(hs[1:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '')
+      FROM g JOIN ur ON ur.lv = g.lv AND ur.run = g.pos // 8)
+SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, v AS folded_root, v = root AS verified
+FROM g, top WHERE g.lv = (SELECT max(lv) FROM u)
+"""
+
+
+@_register(OP13_SQL)
+def op13_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(documents(spark, sf_dir))
