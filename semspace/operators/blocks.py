@@ -1,8 +1,7 @@
-"""Bounded blocks of items with a bound on the score a query can reach inside each.
+"""Bounded blocks of vectors with a bound on the score that two blocks, or a query and a block, can reach.
 
-Items are binned by (group, bin): for cosine the nearest pivot and the angle to it, for plane
-coordinates the grid column and row. Neighbouring bins of a group form a block of about
-``block_rows`` items; a bin holding more than that is split by hash into several blocks with
+Vectors are binned by their nearest pivot and the angle to it. Neighbouring rings of a pivot form a block
+of about ``block_rows`` vectors; a ring holding more than that is split by hash into several blocks with
 the same bounds, so no block, however popular its place, grows with the data.
 """
 
@@ -14,8 +13,8 @@ import numpy as np
 
 from ..functions.arrow import unit_rows
 
-ANGLE_BINS = 1024
-PLANE_CELLS = 512
+RINGS = 1024  # of a pivot, while pivots are few
+RING_CELLS = 1 << 20  # pivots x rings that are counted at most
 MARGIN = 1e-8  # scores are compared at 9 decimals
 COSINE_DIGITS = 9
 
@@ -36,10 +35,40 @@ def spread_hash(ids: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(33)).astype(np.int64)
 
 
+def ring_gap(low: np.ndarray, high: np.ndarray, own_low, own_high) -> np.ndarray:
+    """The least difference between an angle in [low, high] and one in [own_low, own_high]."""
+    return np.maximum(0, np.maximum(low - own_high, own_low - high))
+
+
 @dataclass
-class Blocks:
-    """Block tables shared by both metrics; all of it is bounded by the number of blocks."""
+class PlaneKernel:
+    """Plane coordinates: negated squared distances, compared as they are."""
+
+    scores = staticmethod(plane_scores)
+    digits = None
+
+    @staticmethod
+    def prepare(m: np.ndarray) -> np.ndarray:
+        return m
 
+
+@dataclass
+class AngleKernel:
+    """Cosine, compared at 9 decimals."""
+
+    scores = staticmethod(cosine_scores)
+    prepare = staticmethod(unit_rows)
+    digits = COSINE_DIGITS
+
+
+@dataclass
+class AngleBlocks(AngleKernel):
+    """Blocks of vectors at angles [low, high] from their pivot. By the triangle inequality for angles, what
+    lies in such a ring is no nearer to a query than the gap between the ring and the query's own angle to
+    the pivot, and two rings are no nearer than the gap between one ring and the angles that the other one
+    can have to its pivot. All of it is bounded by the number of blocks and of pivots."""
+
+    pivots: np.ndarray = field(default=None)
     first: np.ndarray = None
     splits: np.ndarray = None
     group: np.ndarray = None
@@ -47,15 +76,35 @@ class Blocks:
     high: np.ndarray = None
     rows: np.ndarray = None
 
-    def cut(self, counts: np.ndarray, block_rows: int) -> None:
-        self.first = np.full(counts.shape, -1, np.int64)
-        self.splits = np.ones(counts.shape, np.int64)
+    @property
+    def rings(self) -> int:
+        return int(max(64, min(RINGS, RING_CELLS // (len(self.pivots) + 1))))
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.pivots) + 1, self.rings  # last group: vectors too short to normalise
+
+    @staticmethod
+    def _short(m: np.ndarray) -> np.ndarray:
+        return np.linalg.norm(m, axis=1) < 1 - 1e-6
+
+    def bin_of(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sims = np.clip(m @ self.pivots.T, -1, 1)
+        groups = sims.argmax(1)
+        angles = np.arccos(sims[np.arange(len(m)), groups])
+        bins = np.minimum((angles / np.pi * self.rings).astype(np.int64), self.rings - 1)
+        short = self._short(m)
+        return np.where(short, len(self.pivots), groups), np.where(short, 0, bins)
+
+    def cut(self, counts: np.ndarray, block_rows: int) -> AngleBlocks:
+        """These pivots with blocks for the ``counts`` of (group, ring)."""
+        first, splits = np.full(counts.shape, -1, np.int64), np.ones(counts.shape, np.int64)
         blocks: list[tuple[int, int, int, int]] = []
 
         def close(g: int, run: list[int], total: int) -> None:
             parts = max(1, -(-total // block_rows)) if len(run) == 1 else 1
-            self.first[g, run] = len(blocks)
-            self.splits[g, run] = parts
+            first[g, run] = len(blocks)
+            splits[g, run] = parts
             blocks.extend([(g, run[0], run[-1], -(-total // parts))] * parts)
 
         for g in range(counts.shape[0]):
@@ -69,8 +118,9 @@ class Blocks:
                 total += n
             if run:
                 close(g, run, total)
-        table = np.array(blocks, np.int64).reshape(-1, 4)
-        self.group, self.low, self.high, self.rows = table.T
+        group, low, high, rows = np.array(blocks, np.int64).reshape(-1, 4).T
+        step = np.pi / self.rings
+        return AngleBlocks(self.pivots, first, splits, group, low * step, (high + 1) * step, rows)
 
     def block_of(self, groups: np.ndarray, bins: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return self.first[groups, bins] + spread_hash(ids) % self.splits[groups, bins]
@@ -78,79 +128,32 @@ class Blocks:
     def count(self) -> int:
         return len(self.group)
 
-
-@dataclass
-class AngleBlocks(Blocks):
-    """Cosine: by the triangle inequality for angles, a block at angles [low, high] from its
-    pivot holds nothing nearer to a query than the gap between its own angle and that ring."""
-
-    pivots: np.ndarray = field(default=None)
-
-    scores = staticmethod(cosine_scores)
-    prepare = staticmethod(unit_rows)
-    digits = COSINE_DIGITS
-
-    @property
-    def shape(self) -> tuple[int, int]:
-        return len(self.pivots) + 1, ANGLE_BINS  # last group: vectors too short to normalise
-
-    @staticmethod
-    def _short(m: np.ndarray) -> np.ndarray:
-        return np.linalg.norm(m, axis=1) < 1 - 1e-6
-
-    def bin_of(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sims = np.clip(m @ self.pivots.T, -1, 1)
-        groups = sims.argmax(1)
-        angles = np.arccos(sims[np.arange(len(m)), groups])
-        bins = np.minimum((angles / np.pi * ANGLE_BINS).astype(np.int64), ANGLE_BINS - 1)
-        short = self._short(m)
-        return np.where(short, len(self.pivots), groups), np.where(short, 0, bins)
-
-    def upper_bound(self, q: np.ndarray) -> np.ndarray:
-        angles = np.arccos(np.clip(q @ self.pivots.T, -1, 1))
-        angles = np.column_stack([angles, np.zeros(len(q))])[:, self.group]
-        low = self.low * np.pi / ANGLE_BINS
-        high = (self.high + 1) * np.pi / ANGLE_BINS
-        gap = np.maximum(0, np.maximum(angles - high, low - angles))
-        bound = np.cos(np.minimum(gap, np.pi)) + MARGIN
-        bound[:, self.group == len(self.pivots)] = 1.0
-        bound[self._short(q)] = 1.0
-        return bound
-
-
-@dataclass
-class PlaneBlocks(Blocks):
-    """Plane: a block is a vertical strip of grid cells; the bound is the distance to it."""
-
-    origin: np.ndarray = field(default=None)
-    span: np.ndarray = field(default=None)
-
-    scores = staticmethod(plane_scores)
-    digits = None  # distances are compared as they are
-
-    @staticmethod
-    def prepare(m: np.ndarray) -> np.ndarray:
-        return m
-
-    @property
-    def shape(self) -> tuple[int, int]:
-        return PLANE_CELLS, PLANE_CELLS
-
-    def bin_of(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cells = np.floor((m - self.origin) / self.span * PLANE_CELLS).astype(np.int64)
-        cells = np.clip(cells, 0, PLANE_CELLS - 1)
-        return cells[:, 0], cells[:, 1]
-
-    def upper_bound(self, q: np.ndarray) -> np.ndarray:
-        step = self.span / PLANE_CELLS
-        slack = 1e-9 * self.span
-        gap = []
-        for axis, low, high in ((0, self.group, self.group), (1, self.low, self.high)):
-            lower = self.origin[axis] + low * step[axis] - slack[axis]
-            upper = self.origin[axis] + (high + 1) * step[axis] + slack[axis]
-            x = q[:, axis][:, None]
-            gap.append(np.maximum(0, np.maximum(lower - x, x - upper)))
-        return -(gap[0] ** 2 + gap[1] ** 2)
+    def query_bound(self, q: np.ndarray, block: int) -> np.ndarray:
+        """The highest score that each query can have in ``block``."""
+        g = self.group[block]
+        if g == len(self.pivots):
+            return np.ones(len(q))
+        angles = np.arccos(np.clip(q @ self.pivots[g], -1, 1))
+        bound = np.cos(ring_gap(angles, angles, self.low[block], self.high[block])) + MARGIN
+        return np.where(self._short(q), 1.0, bound)
+
+    def block_bound(self, block: int, others: AngleBlocks) -> tuple[np.ndarray, np.ndarray]:
+        """The highest score between ``block`` and every block of ``others``, and a guess at the score of
+        their middles; both have the same pivots."""
+        short, g = len(self.pivots), self.group[block]
+        if g == short:
+            return np.ones(others.count()), np.zeros(others.count())
+        own_low, own_high = self.low[block], self.high[block]
+        known = np.minimum(others.group, short - 1)
+        between = np.arccos(np.clip(self.pivots @ self.pivots[g], -1, 1))
+        between[g] = 0.0
+        between = between[known]
+        # the angle of anything in the block to the other pivot
+        low = np.maximum(0, np.maximum(between - own_high, own_low - between))
+        high = np.minimum(np.pi, between + own_high)
+        bound = np.cos(ring_gap(low, high, others.low, others.high)) + MARGIN
+        middle = np.hypot(between, (others.low + others.high - own_low - own_high) / 2)
+        return np.where(others.group == short, 1.0, bound), np.where(others.group == short, 0.0, np.cos(np.minimum(middle, np.pi)))
 
 
 def best_one(scores: np.ndarray, digits: int | None) -> tuple[np.ndarray, np.ndarray]:

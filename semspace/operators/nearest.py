@@ -1,10 +1,14 @@
 """Exact nearest-item search: for every query row the ``k`` best items.
 
-Two exact ways. While the item vectors fit ``max_broadcast_bytes`` they are broadcast and each
-task multiplies its query batches with them, emitting only the best ``k``. Beyond that the items
-stay distributed in bounded blocks (``blocks.py``): each query first visits the blocks it is
-closest to, which gives a lower bound on its k-th score, then only the blocks that could still
-beat it. Block and query chunk meet in a co-group of bounded size.
+Two exact ways. While the item vectors fit ``max_broadcast_bytes`` they are broadcast and each task
+multiplies its query batches with them, emitting only the best ``k``.
+
+Beyond that items and queries both stay in bounded blocks around the same pivots (``blocks.py``), packed
+into tiles. A pair of blocks is one task: each vector moves once per pair of blocks, not once per query and
+block, and only a query's best ``k`` of the pair come out. First every query block meets the item blocks
+nearest to it, which gives each query a k-th score; then it meets only the blocks that can still beat the
+worst of these scores, by the bound between two rings. Which pairs those are is decided from the table of
+blocks alone, before any vector moves.
 """
 
 from __future__ import annotations
@@ -17,15 +21,19 @@ from pyspark.sql import types as T
 
 from ..functions.arrow import arrow_type, batches, matrix, ragged, unit_rows
 from ..sources.storage import materialize
-from .blocks import AngleBlocks, PlaneBlocks, best_k, mask_excluded
-from .small import small_broadcast
+from .blocks import AngleBlocks, AngleKernel, PlaneKernel, best_k, mask_excluded
+from .grid import grid_nearest
 
 MAX_BROADCAST_BYTES = 256 << 20
-# A block of items and a chunk of queries meet in one task. Both move once per meeting, while the
+# A block of items and a block of queries meet in one task. Both move once per meeting, while the
 # product grows with their sizes, so they are as large as a task's memory comfortably allows.
-BLOCK_BYTES = 128 << 20
+BLOCK_BYTES = 64 << 20
 QUERY_BYTES = 64 << 20
-MAX_PIVOTS = 256
+TILE_BYTES = 4 << 20
+PIVOT_BYTES = 32 << 20
+MAX_PIVOTS = 4096
+PAIRS_TOGETHER = 64  # pairs of one block that one task of the join makes at most
+PAIRS_PER_TASK = 6  # pairs of blocks for every task at least, so that their number evens out
 TASK_CELLS = 4_000_000  # scores held at once in one task
 
 
@@ -33,27 +41,31 @@ class NearestIndex:
     """Items ``(idx long, v array)`` prepared for repeated searches.
 
     ``copies_kept``: of items with equal vectors only the lowest ids can ever be returned, so the
-    distributed form keeps that many of each (at least k plus the exclusions of a query; 0 keeps
-    them all).
+    distributed form keeps that many of each (0 keeps them all). A search whose k plus exclusions is
+    larger prepares the items again with as many as it needs.
     """
 
     def __init__(self, items: DataFrame, metric: str = "cosine", copies_kept: int = 0,
                  max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int | None = None,
                  query_rows: int | None = None, pivots: int | None = None):
         self.spark = items.sparkSession
-        self.metric = metric
         self.copies_kept = copies_kept
         items = items.select(F.col("idx").cast("long").alias("idx"), "v")
         size = items.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
         self.n, self.dim = size["n"], size["dim"] or 0
         self.distributed = self.n * self.dim * 8 > max_broadcast_bytes
         if self.distributed:
-            row_bytes = 8 * max(1, self.dim)
-            block_rows = block_rows or max(1, BLOCK_BYTES // row_bytes)
-            self.query_rows = query_rows or max(1, QUERY_BYTES // row_bytes)
-            # cells of about one block each; more would only multiply the visits
-            self._build_blocks(items, block_rows, pivots or min(MAX_PIVOTS, 1 + self.n // block_rows))
+            if metric != "cosine":
+                raise ValueError("only cosine searches are distributed in blocks")
+            # blocks as large as memory allows, but enough pairs of them for every task
+            self.row_bytes = 8 * max(1, self.dim)
+            share = max(256, -(-self.n // int(np.ceil(np.sqrt(PAIRS_PER_TASK * self.parallelism)))))
+            self.block_rows = block_rows or max(1, min(share, BLOCK_BYTES // self.row_bytes))
+            self.query_rows = query_rows or max(1, min(share, QUERY_BYTES // self.row_bytes))
+            most = max(1, min(MAX_PIVOTS, PIVOT_BYTES // self.row_bytes))
+            self._build_blocks(items, pivots or min(most, 1 + self.n // self.block_rows))
         else:
+            self.kernel = AngleKernel() if metric == "cosine" else PlaneKernel()
             self._build_broadcast(items)
 
     # -- small side: broadcast ------------------------------------------------------------
@@ -63,7 +75,6 @@ class NearestIndex:
         ids = table["idx"].to_numpy()
         order = np.argsort(ids, kind="stable")
         vectors = matrix(table["v"])[order] if len(ids) else np.empty((0, max(self.dim, 1)))
-        self.kernel = AngleBlocks() if self.metric == "cosine" else PlaneBlocks()
         self.data = self.spark.sparkContext.broadcast((ids[order], self.kernel.prepare(vectors)))
 
     def _search_broadcast(self, queries: DataFrame, qid: str, k: int, floor: float) -> DataFrame:
@@ -96,141 +107,170 @@ class NearestIndex:
 
     # -- large side: bounded blocks -------------------------------------------------------
 
-    def _build_blocks(self, items: DataFrame, block_rows: int, pivots: int) -> None:
+    def _build_blocks(self, items: DataFrame, pivots: int) -> None:
+        self.pivot_count = pivots
+        self.source = items
         if self.copies_kept:
             copies = Window.partitionBy(F.xxhash64("v"), "v").orderBy("idx")
             items = (items.withColumn("copy", F.row_number().over(copies))
                      .where(F.col("copy") <= self.copies_kept).drop("copy"))
         items = materialize(items, "items")
-        if self.metric == "cosine":
-            sample = items.orderBy(F.xxhash64("idx"), "idx").limit(pivots).toArrow()
-            kernel = AngleBlocks(pivots=unit_rows(matrix(sample["v"])))
-        else:
-            x, y = F.element_at("v", 1), F.element_at("v", 2)
-            box = items.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
-            span = np.array([box[2] - box[0], box[3] - box[1]])
-            kernel = PlaneBlocks(origin=np.array([box[0], box[1]]),
-                                 span=np.where(span > 0, span, 1.0))
-        binner = self.spark.sparkContext.broadcast(kernel)
+        sample = items.orderBy(F.xxhash64("idx"), "idx").limit(pivots).toArrow()
+        blank = AngleBlocks(pivots=unit_rows(matrix(sample["v"])))
+        self.kernel, self.tiles = self._packed(items, "idx", blank, self.block_rows)
+        self.data = self.spark.sparkContext.broadcast(self.kernel)
+
+    def _with_copies(self, need: int) -> NearestIndex:
+        """This index, or one that keeps at least ``need`` of the items with equal vectors."""
+        if not self.copies_kept or need <= self.copies_kept:
+            return self
+        return NearestIndex(self.source, copies_kept=1 << (need - 1).bit_length(), max_broadcast_bytes=-1,
+                            block_rows=self.block_rows, query_rows=self.query_rows, pivots=self.pivot_count)
+
+    def _packed(self, rows: DataFrame, key: str, blank: AngleBlocks, block_rows: int) -> tuple[AngleBlocks, DataFrame]:
+        """The blocks of ``rows`` (key, v[, exclude]) and their tiles: (block, ids, v[, exclude]), the
+        vectors of a tile as the bytes of one matrix in their own precision, ids ascending in a block."""
+        binner = self.spark.sparkContext.broadcast(blank)
+        numeric = isinstance(rows.schema[key].dataType, (T.LongType, T.IntegerType))
+        place = F.col(key).cast("long") if numeric else F.xxhash64(key)
+        rows = rows.withColumn("place", place)
 
         def bins(incoming):
             kern = binner.value
             for batch in incoming:
                 if batch.num_rows:
                     group, cell = kern.bin_of(kern.prepare(matrix(batch.column("v"))))
-                    yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(cell)],
-                                                     names=["group", "bin"])
-
-        counted = items.mapInArrow(bins, "group long, bin long").groupBy("group", "bin").count()
-        counts = np.zeros(kernel.shape, np.int64)
-        for row in counted.toLocalIterator():
-            counts[row["group"], row["bin"]] = row["count"]
-        kernel.cut(counts, block_rows)
-        self.kernel = kernel
-        self.data = self.spark.sparkContext.broadcast(kernel)
-        data = self.data
+                    yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(cell)], names=["group", "bin"])
+
+        counted = rows.select("v").mapInArrow(bins, "group long, bin long").groupBy("group", "bin").count().toArrow()
+        counts = np.zeros(blank.shape, np.int64)
+        counts[counted["group"].to_numpy(), counted["bin"].to_numpy()] = counted["count"].to_numpy()
+        kernel = blank.cut(counts, block_rows)
+        held = self.spark.sparkContext.broadcast(kernel)
+        carried = [c for c in rows.columns if c != "place"]
 
         def assign(incoming):
-            kern = data.value
+            kern = held.value
             for batch in incoming:
                 if batch.num_rows:
                     group, cell = kern.bin_of(kern.prepare(matrix(batch.column("v"))))
-                    block = kern.block_of(group, cell, batch.column("idx").to_numpy())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(block), batch.column("idx"), batch.column("v")],
-                        names=["block", "idx", "v"])
-
-        vector_type = items.schema["v"].dataType.simpleString()
-        self.items = materialize(
-            items.mapInArrow(assign, f"block long, idx long, v {vector_type}"), "blocks")
-
-    def _route(self, queries: DataFrame, qid: str, k: int, floor: float, second: bool) -> DataFrame:
-        """One row per (query, block to visit)."""
-        data, kept = self.data, self.copies_kept
-        columns = [c for c in queries.columns if c != "bound"]
-        fields = [queries.schema[c] for c in columns]
+                    block = kern.block_of(group, cell, batch.column("place").to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(block), *[batch.column(c) for c in carried]], names=["block", *carried])
+
+        single = rows.schema["v"].dataType.elementType == T.FloatType()
+        has_exclude = "exclude" in carried
+        fields = [T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema[key].dataType)),
+                  T.StructField("v", T.BinaryType())]
+        fields += [T.StructField("exclude", T.ArrayType(T.ArrayType(T.LongType())))] if has_exclude else []
+        step = max(1, TILE_BYTES // self.row_bytes)
+
+        def pack(group: pa.Table) -> pa.Table:
+            group = group.sort_by(key)
+            parts = [group.slice(at, step) for at in range(0, group.num_rows, step)]
+            out = {"block": [part["block"][0].as_py() for part in parts], "ids": [part[key].combine_chunks() for part in parts],
+                   "v": [matrix(part["v"]).astype(np.float32 if single else np.float64).tobytes() for part in parts]}
+            arrays = [pa.array(out["block"], pa.int64()), _lists(out["ids"]), pa.array(out["v"], pa.binary())]
+            if has_exclude:
+                arrays.append(_lists([part["exclude"].combine_chunks().cast(pa.list_(pa.int64())) for part in parts]))
+            return pa.Table.from_arrays(arrays, names=["block", "ids", "v", *["exclude"] * has_exclude])
+
+        schema = T.StructType([fields[0], *[rows.schema[c] for c in carried]])
+        placed = rows.mapInArrow(assign, schema)
+        return kernel, materialize(placed.groupBy("block").applyInArrow(pack, T.StructType(fields)), "tiles")
+
+    def _pairs(self, own: AngleBlocks, worst: DataFrame | None, need: int, floor: float) -> DataFrame:
+        """(asked, block) pairs to visit: the nearest blocks that hold ``need`` items together, or, given
+        the (asked, worst) score of every query block, all others that can beat it."""
+        items, mine = self.data, self.spark.sparkContext.broadcast(own)
+        rest = worst is not None
 
         def run(incoming):
-            kern = data.value
-            step = max(1, TASK_CELLS // max(1, kern.count()))
-            for batch in batches(incoming, step):
-                if not batch.num_rows:
-                    continue
-                limit = kern.upper_bound(kern.prepare(matrix(batch.column("v"))))
-                need = np.full(batch.num_rows, k)
-                if "exclude" in columns:
-                    need += np.bincount(ragged(batch.column("exclude"))[0],
-                                        minlength=batch.num_rows)
-                if kept and need.max() > kept:
-                    raise ValueError(f"k plus exclusions is {need.max()}, copies_kept is {kept}")
-                order = np.argsort(-limit, axis=1, kind="stable")
-                before = np.cumsum(kern.rows[order], axis=1) - kern.rows[order]
-                visit = np.zeros(limit.shape, bool)
-                np.put_along_axis(visit, order, before < need[:, None], axis=1)
-                if second:
-                    bound = batch.column("bound").to_numpy(zero_copy_only=False)
-                    bound = np.nan_to_num(bound.astype(np.float64), nan=-np.inf, neginf=-np.inf)
-                    visit = ~visit & (limit >= np.maximum(bound, floor)[:, None])
-                else:
-                    visit &= limit >= floor
-                rows, block = np.nonzero(visit)
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).take(take) for c in columns] + [pa.array(block)],
-                    names=[*columns, "block"])
-
-        schema = T.StructType([*fields, T.StructField("block", T.LongType())])
-        return queries.mapInArrow(run, schema)
-
-    def _visit(self, routed: DataFrame, qid: str, k: int, floor: float) -> DataFrame:
-        """Search every block for the queries routed to it, in chunks of bounded size."""
-        routed = materialize(routed, "routed")
+            kern, asking = items.value, mine.value
+            for batch in incoming:
+                for at, asked in enumerate(batch.column("asked").to_pylist()):
+                    bound, guess = asking.block_bound(asked, kern)
+                    order = np.lexsort((-guess, -np.round(bound, 6)))
+                    before = np.cumsum(kern.rows[order]) - kern.rows[order]
+                    visit = np.zeros(len(bound), bool)
+                    visit[order[before < need]] = True
+                    if rest:
+                        visit = ~visit & (bound >= max(floor, batch.column("worst")[at].as_py()))
+                    else:
+                        visit &= bound >= floor
+                    block = np.flatnonzero(visit)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), asked)), pa.array(block)], names=["asked", "block"])
+
+        blocks = self.spark.range(own.count()).select(F.col("id").alias("asked"))
+        if rest:
+            blocks = worst.select("asked", "worst")
+        return materialize(blocks.mapInArrow(run, "asked long, block long"), "pairs")
+
+    def _meet(self, asked: DataFrame, pairs: DataFrame, k: int, floor: float, id_type: T.DataType) -> DataFrame:
+        """(asked, qid, idx, score): the best ``k`` of every query in every pair of blocks."""
         kernel = self.data
-        has_exclude = "exclude" in routed.columns
-        chunks = routed.groupBy("block").agg(
-            F.ceil(F.count("*") / F.lit(self.query_rows)).cast("int").alias("chunks"))
-        chunks = small_broadcast(materialize(chunks, "chunks"))  # one row per block at most
-        left = (routed.join(chunks, "block")
-                .withColumn("chunk", F.pmod(F.xxhash64(qid), F.col("chunks")).cast("int"))
-                .drop("chunks"))
-        right = (self.items.join(chunks, "block")
-                 .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-                 .drop("chunks"))
-        schema = T.StructType([routed.schema[qid], *_RESULT_FIELDS[:2]])
-        target = pa.schema([pa.field(qid, arrow_type(routed, qid)), *_RESULT_ARROW[:2]])
-
-        def search(_key, asked: pa.Table, held: pa.Table) -> pa.Table:
-            kern = kernel.value
-            if not asked.num_rows or not held.num_rows:
-                return target.empty_table()
-            ids = held["idx"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            vectors = kern.prepare(matrix(held["v"])[order])
+        has_exclude, has_bound = "exclude" in asked.columns, "bound" in asked.columns
+        schema = T.StructType([T.StructField("asked", T.LongType()), T.StructField("qid", id_type), *_RESULT_FIELDS[:2]])
+        single = self.source.schema["v"].dataType.elementType == T.FloatType()
+
+        def search(key, queries: pa.Table, held: pa.Table) -> pa.Table:
+            kern, block = kernel.value, key[1].as_py()
+            tiles = [(np.asarray(ids), kern.prepare(_unpacked(v, len(ids), single))) for ids, v in zip(
+                _each(held["ids"]), held["v"].to_pylist(), strict=True)]
             parts = []
-            for batch in batches(asked.combine_chunks().to_batches(),
-                                 max(1, TASK_CELLS // len(ids))):
-                scores = kern.scores(kern.prepare(matrix(batch.column("v"))), vectors)
-                if has_exclude:
-                    mask_excluded(scores, ids, *ragged(batch.column("exclude")))
-                rows, found, value, _ = best_k(scores, ids, k, floor, kern.digits)
-                parts.append(pa.Table.from_arrays(
-                    [batch.column(qid).take(pa.array(rows)).cast(target.field(0).type),
-                     pa.array(found), pa.array(value)], schema=target))
-            return pa.concat_tables(parts)
-
-        found = (left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
-                 .applyInArrow(search, schema))
+            for at, ids in enumerate(_each(queries["ids"])):
+                q = kern.prepare(_unpacked(queries["v"][at].as_py(), len(ids), queries["single"][at].as_py()))
+                bound = np.asarray(_each(queries["bound"])[at]) if has_bound else np.full(len(q), -np.inf)
+                able = np.flatnonzero(kern.query_bound(q, block) >= np.maximum(bound, floor))
+                ban_rows, banned = ragged(_each(queries["exclude"])[at]) if has_exclude else (np.empty(0, np.int64),) * 2
+                best = []
+                for item_ids, items in tiles:
+                    step = max(1, TASK_CELLS // max(1, len(item_ids)))
+                    for start in range(0, len(able), step):
+                        some = able[start: start + step]
+                        scores = kern.scores(q[some], items)
+                        if len(ban_rows):
+                            row_of = np.full(len(q), -1)
+                            row_of[some] = np.arange(len(some))
+                            mine = row_of[ban_rows] >= 0
+                            mask_excluded(scores, item_ids, row_of[ban_rows[mine]], banned[mine])
+                        rows, found, value, _ = best_k(scores, item_ids, k, floor, kern.digits)
+                        rows = some[rows]
+                        keep = value >= bound[rows]
+                        best.append((rows[keep], found[keep], value[keep]))
+                if not best:
+                    continue
+                rows, found, value = (np.concatenate(x) for x in zip(*best, strict=True))
+                order = np.lexsort((found, -value, rows))
+                rows, found, value = rows[order], found[order], value[order]
+                rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                rows, found, value = rows[rank < k], found[rank < k], value[rank < k]
+                parts.append(pa.table({"asked": pa.array(np.full(len(rows), key[0].as_py()), pa.int64()), "qid": ids.take(pa.array(rows)),
+                                       "idx": pa.array(found, pa.int64()), "score": pa.array(value, pa.float64())}))
+            return pa.concat_tables(parts) if parts else pa.table(
+                {"asked": pa.array([], pa.int64()), "qid": pa.array([], queries["ids"].type.value_type),
+                 "idx": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+        left = _beside(asked.withColumnRenamed("block", "asked"), pairs, "asked", "block")
+        right = _beside(self.tiles, pairs, "block", "asked")
+        found = left.groupBy("asked", "block").cogroup(right.groupBy("asked", "block")).applyInArrow(search, schema)
         return materialize(found, "found")
 
     def _search_blocks(self, queries: DataFrame, qid: str, k: int, floor: float) -> DataFrame:
+        id_type = queries.schema[qid].dataType
         queries = materialize(queries, "queries")
-        first = self._visit(self._route(queries, qid, k, floor, second=False), qid, k, floor)
-        bounds = (_ranked(first, qid, k).where(F.col("rank") == k)
-                  .select(qid, F.col("score").alias("bound")))
-        bounded = queries.join(bounds, qid, "left")
-        rest = self._visit(self._route(bounded, qid, k, floor, second=True), qid, k, floor)
-        return _ranked(first.unionByName(rest), qid, k).select(qid, "idx", "score", "rank")
+        banned = queries.agg(F.max(F.size("exclude"))).first()[0] if "exclude" in queries.columns else 0
+        need = k + max(0, banned or 0)
+        if need > (self.copies_kept or need):
+            return self._with_copies(need)._search_blocks(queries, qid, k, floor)
+        single = queries.schema["v"].dataType.elementType == T.FloatType()
+        own, tiles = self._packed(queries.withColumnRenamed(qid, "qid"), "qid", AngleBlocks(pivots=self.kernel.pivots), self.query_rows)
+        tiles = tiles.withColumn("single", F.lit(single))
+        first = self._meet(tiles, self._pairs(own, None, need, floor), k, floor, id_type)
+        bounded = materialize(_with_bounds(tiles, first, k), "bounded")
+        worst = bounded.groupBy(F.col("block").alias("asked")).agg(F.min(F.array_min("bound")).alias("worst"))
+        rest = self._meet(bounded, self._pairs(own, worst, need, floor), k, floor, id_type)
+        ranked = _ranked(first.unionByName(rest), "qid", k)
+        return ranked.select(F.col("qid").alias(qid), "idx", "score", "rank")
 
     # -------------------------------------------------------------------------------------
 
@@ -238,8 +278,6 @@ class NearestIndex:
         """``queries``: a unique id column, ``v`` and optionally ``exclude array<bigint>``, the item
         ids ruled out for that row. Returns (qid, idx, score, rank), scores strictly above
         ``floor``, equal scores by lower idx."""
-        if self.copies_kept and k > self.copies_kept:
-            raise ValueError(f"k is {k}, copies_kept is {self.copies_kept}")
         keep = [qid, F.col("v")]
         if "exclude" in queries.columns:
             keep.append(F.col("exclude"))
@@ -255,6 +293,39 @@ _RESULT_ARROW = [pa.field("idx", pa.int64()), pa.field("score", pa.float64()),
                  pa.field("rank", pa.int32())]
 
 
+def _lists(parts: list[pa.Array]) -> pa.ListArray:
+    """One list per array."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(parts))
+
+
+def _each(column: pa.ChunkedArray) -> list[pa.Array]:
+    """The lists of a column as arrays."""
+    return [value.values for chunk in column.chunks for value in chunk]
+
+
+def _unpacked(tile: bytes, n: int, single: bool) -> np.ndarray:
+    return np.frombuffer(tile, np.float32 if single else np.float64).reshape(n, -1).astype(np.float64)
+
+
+def _beside(tiles: DataFrame, pairs: DataFrame, key: str, other: str) -> DataFrame:
+    """``tiles`` once per pair of their block. A block with many pairs is spread over several tasks."""
+    salts = pairs.groupBy(key).agg(F.ceil(F.count("*") / F.lit(PAIRS_TOGETHER)).cast("int").alias("salts"))
+    salts = materialize(salts, "salts")
+    left = pairs.join(salts, key).withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("salts")
+    right = tiles.join(salts, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return right.join(left, [key, "salt"]).drop("salt")
+
+
+def _with_bounds(tiles: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """The query tiles with ``bound``, each query's k-th score so far, -inf where it has fewer."""
+    kth = _ranked(first, "qid", k).where(F.col("rank") == k).select("asked", "qid", F.col("score").alias("bound"))
+    kth = kth.groupBy(F.col("asked").alias("block")).agg(F.map_from_entries(F.collect_list(F.struct("qid", "bound"))).alias("known"))
+    bound = F.transform("ids", lambda i: F.coalesce(F.try_element_at("known", i), F.lit(-np.inf)))
+    return tiles.join(kth, "block", "left").withColumn(
+        "bound", F.when(F.col("known").isNull(), F.transform("ids", lambda i: F.lit(-np.inf))).otherwise(bound)).drop("known")
+
+
 def _result_schema(queries: DataFrame, qid: str) -> T.StructType:
     return T.StructType([queries.schema[qid], *_RESULT_FIELDS])
 
@@ -273,14 +344,19 @@ def knn_graph(items: DataFrame, k: int = 10, **index) -> DataFrame:
         "src", F.col("idx").alias("dst"), "rank", F.col("score").alias("sim"))
 
 
-def radius_nearest(queries: DataFrame, items: DataFrame, radius: float,
-                   max_broadcast_bytes: int = 1 << 20, **index) -> DataFrame:
+def radius_nearest(queries: DataFrame, items: DataFrame, radius: float, max_broadcast_bytes: int = 1 << 20, **grid) -> DataFrame:
     """The nearest item strictly within ``radius`` of each query point (qid, x, y); items are
-    (idx, x, y). Queries with none are left out; equal distances go to the lower idx."""
+    (idx, x, y). Queries with none are left out; equal distances go to the lower idx. Few items are
+    broadcast; beyond ``max_broadcast_bytes`` both sides meet in a hashed grid."""
     def points(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("v"))
+        return df.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    asked, held = points(queries, "qid"), points(items, "idx")
+    if held.count() * 24 > max_broadcast_bytes:
+        return grid_nearest(asked, held, radius, **grid)
+
+    def vectors(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.array("x", "y").alias("v"))
 
-    nearest = NearestIndex(points(items, "idx"), metric="plane", copies_kept=1,
-                           max_broadcast_bytes=max_broadcast_bytes, **index)
-    found = nearest.search(points(queries, "qid"), 1, floor=-radius * radius)
+    found = NearestIndex(vectors(held, "idx"), metric="plane").search(vectors(asked, "qid"), 1, floor=-radius * radius)
     return found.select("qid", "idx", F.sqrt(-F.col("score")).alias("dist"))

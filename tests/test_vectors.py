@@ -37,9 +37,9 @@ def test_knn_is_exact(spark, crowded, limits):
     assert (got.groupby("src")["sim"].diff().dropna() <= 0).all()
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_broadcast_bytes": 0, "block_rows": 25, "query_rows": 40}])
+@pytest.mark.parametrize("limits", [{}, {"max_broadcast_bytes": 0}, {"max_broadcast_bytes": 0, "cell_items": 2, "hot_points": 3}])
 def test_radius_is_exact(spark, limits):
-    held = np.vstack([RNG.random((200, 2)), np.tile([0.5, 0.5], (100, 1)), 0.25 + RNG.random((100, 2)) / 1000])
+    held = np.vstack([RNG.random((200, 2)), np.tile([0.5, 0.5], (100, 1)), 0.25 + RNG.random((100, 2)) / 1000, [[4e9, -3e17]]])
     asked = np.vstack([RNG.random((150, 2)), held[:50], [[9, 9]]])
 
     def points(m, key):
@@ -66,12 +66,12 @@ def test_search_excludes_and_runs_short(spark, limits):
     assert sorted((r["qid"], r["rank"], r["idx"]) for r in got) == [(0, 1, 1), (0, 2, 2)]
 
 
-def test_search_refuses_more_than_it_kept(spark):
-    index = NearestIndex(frame(spark, np.eye(4)), copies_kept=2, max_broadcast_bytes=0)
-    asked = frame(spark, np.eye(4)[:1], "qid").withColumn("exclude", F.array(F.lit(0).cast("long")))
-    assert index.search(asked, 1).count() == 1
-    with pytest.raises(Exception, match="copies_kept"):
-        index.search(asked, 2).count()
+def test_search_beyond_the_copies_kept(spark):
+    held = frame(spark, np.vstack([np.ones((9, 4)), np.eye(4)]))
+    index = NearestIndex(held, copies_kept=2, max_broadcast_bytes=0, block_rows=5)
+    asked = frame(spark, np.ones((1, 4)), "qid").withColumn("exclude", F.array(*[F.lit(i).cast("long") for i in (0, 2)]))
+    assert [r["idx"] for r in index.search(asked, 5).orderBy("rank").collect()] == [1, 3, 4, 5, 6]
+    assert [r["idx"] for r in index.search(frame(spark, np.ones((1, 4)), "qid"), 2).orderBy("rank").collect()] == [0, 1]
 
 
 @pytest.mark.parametrize("limits", [{}, {"max_broadcast_bytes": 0, "block_rows": 8, "pivots": 2}])
