@@ -135,15 +135,21 @@ def reach_by_seeds(spark, sf):
     return done.recipes.select("item_idx", F.col("a_kind").isNotNull().alias("reached"))
 
 
-# every item of these tables can be reached, and its recipe gives it again
-@register(f"WITH {D.UNIVERSE} SELECT item_idx, item_idx AS result_idx FROM u")
+# every item of these tables can be reached, from parents of an earlier round, and its recipe gives it again
+@register(f"WITH {D.UNIVERSE} SELECT item_idx, item_idx AS result_idx, true AS parents_earlier FROM u")
 def closure_replay(spark, sf):
     whole, start = D.universe(spark, sf), D.seeds(spark, sf)
-    recipes = M.reach_closure(whole, start).recipes
+    recipes = materialize(M.reach_closure(whole, start).recipes, "recipes")
     pairs = recipes.select(F.col("item_idx").alias("pair_id"), *[
         M.element_key(F.col(f"{s}_kind"), F.col(f"{s}_idx")).alias(f"{s}_key") for s in "ab"])
     found = M.combine_pairs(pairs, M.elements(start, whole), index_of(whole))
-    return found.select(F.col("pair_id").alias("item_idx"), "result_idx")
+    timed = recipes.select("item_idx", "round", *[F.when(F.col(f"{s}_kind") == M.ITEM, F.col(f"{s}_idx")).alias(s) for s in "ab"])
+    for s in "ab":
+        before = recipes.select(F.col("item_idx").alias(s), F.col("round").alias(f"{s}_round"))
+        timed = timed.join(before, s, "left")
+    earlier = [F.col(s).isNull() | F.coalesce(F.col(f"{s}_round") < F.col("round"), F.lit(False)) for s in "ab"]
+    timed = timed.select("item_idx", (earlier[0] & earlier[1]).alias("parents_earlier"))
+    return found.select(F.col("pair_id").alias("item_idx"), "result_idx").join(timed, "item_idx")
 
 
 @register(f"""WITH {D.FOUND} SELECT DISTINCT user_id, item_idx FROM found f WHERE NOT EXISTS (

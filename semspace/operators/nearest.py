@@ -287,6 +287,29 @@ class NearestIndex:
         return self._search_broadcast(queries, qid, k, floor)
 
 
+    def best_ranks(self, queries: DataFrame, k: int, qid: str = "qid") -> DataFrame:
+        """(idx, rank) of every item among the best ``k`` of any query: its best rank. Where the items
+        are broadcast a task reports an item once, however many queries it has seen."""
+        if self.distributed:
+            found = self.search(queries, k, qid)
+        else:
+            data, kernel = self.data, self.kernel
+
+            def run(incoming):
+                ids, vectors = data.value
+                best = np.full(len(ids), k + 1, np.int32)
+                for batch in batches(incoming, max(1, TASK_CELLS // max(1, len(ids)))):
+                    if batch.num_rows and len(ids):
+                        scores = kernel.scores(kernel.prepare(matrix(batch.column("v"))), vectors)
+                        _, found, _, rank = best_k(scores, ids, k, digits=kernel.digits)
+                        np.minimum.at(best, np.searchsorted(ids, found), rank)
+                at = np.flatnonzero(best <= k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best[at])], names=["idx", "rank"])
+
+            found = queries.select("v").repartition(self.parallelism).mapInArrow(run, "idx long, rank int")
+        return found.groupBy("idx").agg(F.min("rank").alias("rank"))
+
+
 _RESULT_FIELDS = [T.StructField("idx", T.LongType()), T.StructField("score", T.DoubleType()),
                   T.StructField("rank", T.IntegerType())]
 _RESULT_ARROW = [pa.field("idx", pa.int64()), pa.field("score", pa.float64()),
