@@ -90,3 +90,34 @@ def test_embed_resumes_and_reports_failures(spark):
 def test_embed_checks_the_dimension(spark):
     texts = spark.createDataFrame([("a", "one")], "item_id string, text string")
     assert "expected" in embed(texts, hashing_embedder(3), 4, "m").first()["error"]
+
+
+def test_svd_in_blocks_matches_numpy(spark, monkeypatch):
+    from semspace.operators import factor
+
+    monkeypatch.setattr(factor, "TERM_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    left, right = (np.linalg.qr(rng.standard_normal((n, 6)))[0] for n in (90, 50))
+    m = (left * [100, 50, 20, 10, 1, 0.5]) @ right.T  # a decaying spectrum: both ways find the same axes
+    m[7] = 0
+    rows = [(f"d{i}", [int(j) for j in np.flatnonzero(r)], [float(x) for x in r[r != 0]]) for i, r in enumerate(m)]
+    sparse = spark.createDataFrame(rows, "doc_id string, indices array<int>, values array<double>").repartition(5)
+    fitted = X.fit_lsa(sparse, 50, 4, local_bytes=0)
+    small = X.fit_lsa(sparse, 50, 4)
+    assert np.allclose(fitted.singular_values, np.linalg.svd(m, compute_uv=False)[:4], rtol=1e-3)
+    assert np.allclose(fitted.singular_values, small.singular_values, rtol=1e-6)
+    got = {r["doc_id"]: r["v"] for r in X.lsa_scores(sparse, fitted).collect()}
+    want = {r["doc_id"]: r["v"] for r in X.lsa_scores(sparse, small).collect()}
+    assert got.keys() == want.keys() and got["d7"] == [0.0] * 4
+    assert np.allclose([got[d] for d in sorted(got)], [want[d] for d in sorted(want)], atol=1e-5)
+
+
+def test_no_cap_and_joined_weights(docs):
+    whole = X.fit_tfidf(docs, min_df=1, max_features=None)
+    terms = {t for r in docs.collect() for t in r["terms"]}
+    assert whole.terms == sorted(terms) and whole.size == len(terms)
+    local = {r["doc_id"]: (r["indices"], r["values"]) for r in X.tfidf(docs, whole).collect()}
+    joined = {r["doc_id"]: (r["indices"], r["values"]) for r in X.tfidf(docs, whole, local_terms=3).collect()}
+    assert local.keys() == joined.keys() == set(range(len(TEXTS)))
+    for doc in local:
+        assert local[doc][0] == joined[doc][0] and local[doc][1] == pytest.approx(joined[doc][1])
