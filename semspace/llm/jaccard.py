@@ -11,16 +11,23 @@ components. Steps:
 3. *Index.* The first |x| - ceil(percent * |x|) + 1 tokens of a set, with their positions, are its
    postings. Two sets that link share one of them. Lists are read in the order of set size, and a list
    with one entry goes no further.
-4. *Set relation, similar sets.* Each set is tied to the list leader it shares most tokens with. Inside
-   a tied group a set takes its leader's answers: no pairs are made within the group, and a list whose
-   entries all belong to one group is skipped as a block.
-5. *Positions.* Entries of different groups meet in their lists if sizes and positions still permit the
-   overlap; the shared postings of a pair bound its overlap from above, and only pairs that can reach
-   the threshold go on.
-6. *Verification* on whole sets: first the ties and each set's best pair. Where a tie fails, the group it
-   held together is joined again, by step 5, between its verified parts. Then the best
-   pair of each set among those that are not of one component yet, then all that are still left. A pair
-   is skipped only if its sets are already connected.
+4. *Set relation, similar sets.* Before any pair is made, every set is tied to one set: of each of its lists
+   to the most central entry, whose postings stand in the longest lists, and of these to the one it shares
+   most postings with. Ties are verified and merge their sets into groups; further rounds tie each set to
+   entries of other groups, until nothing merges. A round is linear in the postings. From then on a set takes
+   its group's answers: no pairs are made within a group, and a list whose entries all belong to one group is
+   skipped as a block.
+5. *Set relation, incremental answers.* Sets tied to the same centre c form a star. Of two of its sets
+   |x n y| = |c| - |c - x| - |c - y| + |dx n dy| with dx the symmetric difference of x and c, so y answers x
+   exactly if they share enough of the tokens in which they differ from c. Two sets that are not both linked
+   to c must share at least one; those meet by prefixes of their differences, the rarest first, instead of
+   the tokens that the whole star has in common.
+   *Positions.* All other entries of different groups meet in their lists if sizes and positions still
+   permit the overlap; the shared postings of a pair bound its overlap from above, and only pairs that can
+   reach the threshold go on.
+6. *Verification* on whole sets, which are kept once: first the best pair of each set among those that are
+   not of one component yet, then all that are still left. A pair is skipped only if its sets are already
+   connected by verified links.
 
 Empty or null texts have the empty set: n_shingles 0, linked with nothing, their own component.
 Rows with one doc_id are one vertex, whatever their texts; the result has one row per input row. Rows
@@ -37,7 +44,8 @@ from pyspark.sql import functions as F
 from .common import BITMAP_BITS, Words, bitmap, components, in_bitmap, keep, mix, slices
 
 HOT_LOCAL, HOT_GLOBAL = 1 << 15, 1 << 18  # frequent tokens reported by a task, and kept
-LIKELY = 0.8  # share of a prefix that a tie has in common; it decides the work, not the result
+LIKELY = 0.5  # share of a prefix that a tie has in common; it decides the work, not the result
+ROUNDS = 4  # of ties at most; what they leave apart the join compares
 WORDS = 4
 PERCENT = 85
 
@@ -159,29 +167,109 @@ def _prefix(n, percent: int):
     return n - F.ceil(percent * n / F.lit(100.0)) + 1
 
 
-def ties(lists: DataFrame, percent: int) -> DataFrame:
-    """(x, y): each set with the one leader it shares most postings with, if that looks like a link."""
-    met = lists.where((F.col("rep") != F.col("leader")) & (100 * F.col("leader_n") >= percent * F.col("n"))).groupBy("rep", "leader").agg(F.count("*").alias("o"), F.max("n").alias("n"))
-    likely = met.where(F.col("o") >= LIKELY * _prefix(F.col("n"), percent))
-    return likely.groupBy(F.col("rep").alias("x")).agg(F.max_by("leader", F.struct("o", -F.col("leader"))).alias("y"))
-
-
-def cross_pairs(lists: DataFrame, groups: DataFrame, percent: int, inside: DataFrame | None = None) -> DataFrame:
-    """(x, y, o): pairs of different groups that share o postings and can still reach the threshold.
-
-    ``groups``: (rep, grp) of the sets that are not alone. ``inside``: (rep, old), then only pairs with
-    equal ``old`` are made.
-    """
-    lists = lists.drop("leader", "leader_n").join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
-    key = ["token"]
-    if inside is not None:
-        lists, key = lists.join(inside, "rep"), ["token", "old"]
-    mixed = lists.groupBy(*key).agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select(*key)
-    lists = lists.join(mixed, key, "left_semi")
-    x = lists.select(*key, *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "pos", "grp")))
-    y = lists.select(*key, *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "pos", "grp")))
+def with_centrality(lists: DataFrame) -> DataFrame:
+    """``lists`` with ``score``: how long the lists of a set's postings are on average. In a cluster of near
+    copies the text that they were made from has the highest."""
+    sizes = lists.groupBy("token").agg(F.count("*").alias("size"))
+    scores = lists.join(sizes, "token").groupBy("rep").agg(
+        (F.sum(F.sqrt("size")) / F.max(_prefix(F.col("n"), PERCENT))).alias("score"))
+    return lists.select("token", "n", "pos", "rep").join(scores, "rep")
+
+
+def ties(lists: DataFrame, groups: DataFrame | None, checked: DataFrame | None, percent: int) -> DataFrame:
+    """(rep, to, x, y): each set with the one set of another group that it shares most postings with, among the most
+    central entry of each of its lists and the most central one outside that entry's group."""
+    lists = _grouped(lists, groups)
+    first = lists.groupBy("token").agg(F.max(F.struct("score", "rep", "grp", "n")).alias("a"), F.min("grp").alias("g0"), F.max("grp").alias("g1"))
+    lists = lists.join(first.where("g0 <> g1").select("token", "a"), "token")
+    if groups is not None:
+        second = lists.where("grp <> a.grp").groupBy("token").agg(F.max(F.struct("score", "rep", "grp", "n")).alias("b"))
+        lists = lists.join(second, "token").withColumn("a", F.when(F.col("grp") == F.col("a.grp"), F.col("b")).otherwise(F.col("a")))
+    met = lists.where((F.col("grp") != F.col("a.grp")) & (100 * F.least("n", "a.n") >= percent * F.greatest("n", "a.n")))
+    met = met.groupBy("rep", F.col("a.rep").alias("to")).agg(F.count("*").alias("o"), F.max("n").alias("n"))
+    met = met.where(F.col("o") >= LIKELY * _prefix(F.col("n"), percent)).select(
+        "rep", "to", F.least("rep", "to").alias("x"), F.greatest("rep", "to").alias("y"), "o")
+    if checked is not None:
+        met = met.join(checked.select("x", "y"), ["x", "y"], "left_anti")
+    best = met.groupBy("rep").agg(F.max_by("to", F.struct("o", -F.col("to"))).alias("to"))
+    return best.select("rep", "to", F.least("rep", "to").alias("x"), F.greatest("rep", "to").alias("y"))
+
+
+def _grouped(lists: DataFrame, groups: DataFrame | None) -> DataFrame:
+    if groups is None:
+        return lists.withColumn("grp", F.col("rep"))
+    return lists.join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
+
+
+def stars(tied: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(rep, centre): the sets that several others were tied to, and what was tied to them; without ids
+    that stand for several texts."""
+    tied = tied.join(repeated.withColumnRenamed("doc_id", "rep"), "rep", "left_anti")
+    centres = tied.groupBy("to").count().where("count > 1").select(F.col("to").alias("centre"))
+    centres = keep(centres.join(repeated.withColumnRenamed("doc_id", "centre"), "centre", "left_anti"), "centres")
+    leaves = tied.join(centres, F.col("to") == F.col("centre")).select("rep", "centre")
+    leaves = leaves.join(centres.select(F.col("centre").alias("rep")), "rep", "left_anti")
+    return keep(leaves.unionByName(centres.select(F.col("centre").alias("rep"), "centre")), "stars")
+
+
+def star_pairs(sets: DataFrame, star: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(x, y, o): pairs of sets of one star but different groups that can link, by the o tokens of their
+    prefixes in which both differ from the centre."""
+    star = _grouped(star, groups)
+    several = star.groupBy("centre").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("centre")
+    open_ = star.join(several, "centre").where("rep <> centre")
+    both = open_.join(sets.select(F.col("id").alias("rep"), F.col("s").alias("sx")), "rep").join(
+        sets.select(F.col("id").alias("centre"), F.col("s").alias("sy")), "centre").select("centre", "rep", "grp", "sx", "sy")
+
+    def differences(batches):
+        for batch in batches:
+            missing, tokens, size = [], [], []
+            for i in range(batch.num_rows):
+                x, c = (np.asarray(batch.column(k)[i].values) for k in (3, 4))
+                less = np.setdiff1d(c, x, assume_unique=True)
+                missing.append(len(less))
+                size.append(len(c))
+                tokens.append(np.concatenate([less, np.setdiff1d(x, c, assume_unique=True)]))
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(size, pa.int64()), pa.array(missing, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*tokens, np.empty(0, np.int64)])))],
+                ["centre", "rep", "grp", "nc", "missing", "tokens"])
+
+    apart = keep(both.mapInArrow(differences, "centre long, rep long, grp long, nc long, missing long, tokens array<long>"), "apart")
+    d = F.size("tokens").cast("long")
+    g = 100 * F.col("missing") + percent * (d - F.col("missing"))
+    spare = (100 - percent) * F.col("nc")
+    # a set not linked to the centre shares more than g / (100 + percent) with any set not linked to it, and
+    # at least (g - spare) / (100 + percent) with one that is; the latter shares more than its own g / (100 + percent)
+    short = d - F.floor(g / (100 + percent)).cast("long")
+    long_ = d - F.ceil((g - spare) / (100 + percent)).cast("long") + 1
+    entries = apart.select("centre", "rep", "grp", (g > spare).alias("far"), short.alias("short"), long_.alias("long"),
+                           d.alias("d"), F.explode("tokens").alias("token"))
+    common = entries.groupBy("centre", "token").agg(F.count("*").alias("size")).where("size > 1")
+    entries = entries.join(common, ["centre", "token"])
+    # tokens that no other set of the star differs in come first in the order and meet nobody
+    own = Window.partitionBy("centre", "rep")
+    at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("size", "token"))
+    entries = entries.withColumn("at", at).where("at <= short or (far and at <= long)")
+    entries = keep(entries.select("centre", "token", "rep", "grp", "far", (F.col("at") <= F.col("short")).alias("near_prefix")), "entries")
+    x = entries.where("far").select("centre", "token", F.col("rep").alias("x"), F.col("grp").alias("gx"), F.col("near_prefix").alias("px"))
+    y = entries.where("near_prefix").select("centre", "token", F.col("rep").alias("y"), F.col("grp").alias("gy"), F.col("far").alias("fy"))
+    met = x.join(y, ["centre", "token"]).where("gx <> gy and (not fy or (px and x < y))")
+    return met.groupBy("x", "y").agg(F.count("*").alias("o"))
+
+
+def cross_pairs(lists: DataFrame, groups: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """(x, y, o): pairs of different groups and different stars that share o postings and can still reach
+    the threshold. ``groups``: (rep, grp) of the sets that are not alone."""
+    lists, key = _grouped(lists, groups), ["token"]
+    lists = lists.join(star, "rep", "left").withColumn("centre", F.coalesce("centre", -1 - F.col("rep")))
+    mixed = lists.groupBy(*key).agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.min("centre").alias("c0"), F.max("centre").alias("c1"))
+    lists = lists.join(mixed.where("g0 <> g1 and c0 <> c1").select(*key), key, "left_semi")
+    x = lists.select(*key, *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "pos", "grp", "centre")))
+    y = lists.select(*key, *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "pos", "grp", "centre")))
     nx, ny = F.col("x_n"), F.col("y_n")
-    both = x.join(y, key).where("x_grp <> y_grp and (x_n < y_n or (x_n = y_n and x_rep < y_rep))").where(
+    both = x.join(y, key).where("x_grp <> y_grp and x_centre <> y_centre and (x_n < y_n or (x_n = y_n and x_rep < y_rep))").where(
         (100 * nx >= percent * ny)
         & (1 + F.least(F.col("x_pos"), F.col("y_pos")) + F.least(nx - F.col("x_pos"), ny - F.col("y_pos")) - 1
            >= _needed(nx, ny, percent)))
@@ -192,10 +280,8 @@ def cross_pairs(lists: DataFrame, groups: DataFrame, percent: int, inside: DataF
     return pairs.where(F.col("o") + rest >= _needed(nx, ny, percent)).select("x", "y", "o")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(x, y, linked) of ``pairs`` by their whole sets. Sets are made only of texts that pairs name (and
-    a few others that the bitmap lets through) and travel once for each side of a pair."""
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, s): the whole sets of the texts of ``ids`` and of a few others that the bitmap lets through."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("at")
     bits = bitmap(ids.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)).alias("at")))
 
@@ -209,7 +295,11 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "s"])
 
-    sets = docs.select("doc_id", "text", place).mapInArrow(build, "id long, s array<long>")
+    return docs.select("doc_id", "text", place).mapInArrow(build, "id long, s array<long>")
+
+
+def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(x, y, linked) of ``pairs`` by their whole ``sets`` (id, s), which travel once for each side of a pair."""
 
     def compare(batches):
         for batch in batches:
@@ -248,6 +338,35 @@ def _parts(links: DataFrame) -> DataFrame:
         F.col("id").alias("rep"), F.col("component").alias("grp")), "parts")
 
 
+def _linked(lists: DataFrame, sets: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
+    """(rep, grp): the component of every set that has a link."""
+    checked, parts, star = None, None, None
+    for _ in range(ROUNDS):
+        tied = keep(ties(lists, parts, checked, percent), "ties")
+        if tied.isEmpty():
+            break
+        star = stars(tied, repeated) if star is None else star
+        found = keep(verify(sets, tied.select("x", "y").distinct(), percent), "checked")
+        checked = found if checked is None else checked.union(found)
+        if found.where("linked").isEmpty():
+            break
+        parts = _parts(checked.where("linked"))
+    if checked is None:
+        spark = sets.sparkSession
+        checked = spark.createDataFrame([], "x long, y long, linked boolean")
+        star = spark.createDataFrame([], "rep long, centre long")
+    if parts is None:
+        parts = _parts(checked.where("linked"))
+    pairs = cross_pairs(lists, parts, star, percent).unionByName(star_pairs(sets, star, parts, percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "o")
+    for chosen in (_best, lambda rest: rest.select("x", "y")):
+        pairs = keep(_apart(pairs, parts, checked.select("x", "y")), "pairs")
+        if pairs.isEmpty():
+            break
+        checked = checked.union(keep(verify(sets, chosen(pairs), percent), "checked"))
+        parts = _parts(checked.where("linked"))
+    return parts
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text); see the module's text."""
     docs = docs.select("doc_id", "text")
@@ -256,24 +375,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     classes = keep(signed.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "classes")
     one = signed.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "a", "b"), ["doc_id", "a", "b"], "left_semi")
     lists = keep(shared_postings(one.select(F.col("doc_id").alias("rep"), "n", "prefix")), "lists")
-    tied = keep(ties(lists, percent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "ties")
-    groups = _parts(tied)
-    ordered = (F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "o")
-    pairs = keep(cross_pairs(lists, groups, percent).select(*ordered), "pairs")
-
-    checked = keep(verify(texts, tied.union(_best(pairs)).distinct(), k, percent), "checked")
-    parts = _parts(checked.where("linked"))
-    # ties that failed, unless other links hold their ends together: their groups are joined again
-    failed = _apart(tied, parts, checked.where("linked").select("x", "y")).select(F.col("x").alias("rep"))
-    broken = failed.join(groups, "rep").select(F.col("grp").alias("old")).distinct()
-    inside = keep(groups.withColumnRenamed("grp", "old").join(broken, "old"), "broken")
-    pairs = pairs.union(cross_pairs(lists, parts, percent, inside).select(*ordered))
-    for chosen in (_best, lambda rest: rest.select("x", "y")):
-        pairs = keep(_apart(pairs, parts, checked.select("x", "y")), "pairs")
-        if pairs.isEmpty():
-            break
-        checked = checked.union(keep(verify(texts, chosen(pairs), k, percent), "checked"))
-        parts = _parts(checked.where("linked"))
+    lists = keep(with_centrality(lists), "central")
+    sets = keep(whole_sets(texts, lists.select(F.col("rep").alias("id")).distinct(), k), "sets")
+    repeated = keep(signed.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    parts = _linked(lists, sets, repeated, percent)
     classes = classes.join(parts, "rep", "left").select("a", "b", F.coalesce("grp", "rep").alias("component"))
     return signed.join(classes, ["a", "b"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
