@@ -44,7 +44,9 @@ from pyspark.sql import functions as F
 from .common import BITMAP_BITS, Words, bitmap, components, in_bitmap, keep, mix, slices
 
 HOT_LOCAL, HOT_GLOBAL = 1 << 15, 1 << 18  # frequent tokens reported by a task, and kept
-LIKELY = 0.5  # share of a prefix that a tie has in common; it decides the work, not the result
+LIKELY = 0.2  # share of a prefix that a tie has in common; it decides the work, not the result
+NEAR = 60  # percent of similarity to the centre that makes a set part of its star
+PLACES = 1 << 23  # of the bitmap that decides which sets travel to be verified
 ROUNDS = 4  # of ties at most; what they leave apart the join compares
 WORDS = 4
 PERCENT = 85
@@ -218,8 +220,8 @@ def star_pairs(sets: DataFrame, star: DataFrame, groups: DataFrame, percent: int
     star = _grouped(star, groups)
     several = star.groupBy("centre").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("centre")
     open_ = star.join(several, "centre").where("rep <> centre")
-    both = open_.join(sets.select(F.col("id").alias("rep"), F.col("s").alias("sx")), "rep").join(
-        sets.select(F.col("id").alias("centre"), F.col("s").alias("sy")), "centre").select("centre", "rep", "grp", "sx", "sy")
+    both = open_.join(_named(sets, open_.select(F.col("rep").alias("id"))).toDF("rep", "sx"), "rep").join(
+        _named(sets, open_.select(F.col("centre").alias("id"))).toDF("centre", "sy"), "centre").select("centre", "rep", "grp", "sx", "sy")
 
     def differences(batches):
         for batch in batches:
@@ -298,23 +300,33 @@ def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text", place).mapInArrow(build, "id long, s array<long>")
 
 
+def _named(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``sets`` of ``ids`` and of a few others that a bitmap of fixed size lets through."""
+    at = F.pmod(F.xxhash64("id"), F.lit(PLACES))
+    words = ids.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits"))  # at most PLACES / 64 rows
+    placed = sets.withColumn("at", at).withColumn("word", F.expr("at div 64"))
+    return placed.join(F.broadcast(words), "word").where("getbit(bits, int(at % 64)) = 1").select("id", "s")
+
+
 def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(x, y, linked) of ``pairs`` by their whole ``sets`` (id, s), which travel once for each side of a pair."""
+    """(x, y, linked, near) of ``pairs`` by their whole ``sets`` (id, s), which travel once for each side of a pair."""
 
     def compare(batches):
         for batch in batches:
             xs, ys = batch.column(2), batch.column(3)
-            linked = []
+            shared, union = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
                 a, b = (np.asarray(c[i].values) for c in (xs, ys))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
-                                             ["x", "y", "linked"])
+                shared[i] = len(np.intersect1d(a, b, assume_unique=True))
+                union[i] = len(a) + len(b) - shared[i]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(100 * shared >= percent * union), pa.array(100 * shared >= NEAR * union)],
+                ["x", "y", "linked", "near"])
 
-    left = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x")
-    full = left.join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y").select("x", "y", "sx", "sy")
-    return full.mapInArrow(compare, "x long, y long, linked boolean").distinct()
+    left = pairs.join(_named(sets, pairs.select(F.col("x").alias("id"))).toDF("x", "sx"), "x")
+    full = left.join(_named(sets, pairs.select(F.col("y").alias("id"))).toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
+    return full.mapInArrow(compare, "x long, y long, linked boolean, near boolean").distinct()
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -345,15 +357,16 @@ def _linked(lists: DataFrame, sets: DataFrame, repeated: DataFrame, percent: int
         tied = keep(ties(lists, parts, checked, percent), "ties")
         if tied.isEmpty():
             break
-        star = stars(tied, repeated) if star is None else star
         found = keep(verify(sets, tied.select("x", "y").distinct(), percent), "checked")
+        if star is None:
+            star = stars(tied.join(found.where("near").select("x", "y").distinct(), ["x", "y"]), repeated)
         checked = found if checked is None else checked.union(found)
         if found.where("linked").isEmpty():
             break
         parts = _parts(checked.where("linked"))
     if checked is None:
         spark = sets.sparkSession
-        checked = spark.createDataFrame([], "x long, y long, linked boolean")
+        checked = spark.createDataFrame([], "x long, y long, linked boolean, near boolean")
         star = spark.createDataFrame([], "rep long, centre long")
     if parts is None:
         parts = _parts(checked.where("linked"))
