@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import BITMAP_BITS, Words, bitmap, components, in_bitmap, keep, mix, slices
 
 HOT_LOCAL, HOT_GLOBAL = 1 << 15, 1 << 18  # frequent tokens reported by a task, and kept
-LIKELY = 0.2  # share of a prefix that a tie has in common; it decides the work, not the result
+LIKELY = 0.08  # share of a prefix that a tie has in common; it decides the work, not the result
 NEAR = 60  # percent of similarity to the centre that makes a set part of its star
 PLACES = 1 << 23  # of the bitmap that decides which sets travel to be verified
 ROUNDS = 4  # of ties at most; what they leave apart the join compares
