@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.scores import MEDIA
 from ..operators import features as X
+from ..operators.clean import keep_first
 from ..sources import tables
 
 
@@ -28,12 +31,17 @@ SCORE_FILE = "genderedness_filtered.csv"
 
 def build(spark: SparkSession, root: str, out: str, catalogue: str = CATALOGUE_FILE,
           events: dict[str, str] | None = None, scores: str = SCORE_FILE) -> DataFrame:
-    """Find the dump under ``root``, build the table, write it to ``out``."""
+    """Find the dump under ``root``, build the table, write it to ``out``. A dump may lie in several
+    folders: their tables are one, of items with one id the first by folder, file and row stays."""
     events = events or EVENT_FILES
-    folder = tables.locate_datasets(spark, root, catalogue)[0]
+    folders = tables.locate_datasets(spark, root, catalogue)
+
+    def whole(read, name: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [read(spark, f"{folder}/{name}") for folder in folders])
+
     table = feature_table(
-        tables.read_catalogue(spark, f"{folder}/{catalogue}"),
-        {m: tables.read_occurrences(spark, f"{folder}/{name}") for m, name in events.items()},
-        tables.read_scores(spark, f"{folder}/{scores}"))
+        keep_first(whole(tables.read_catalogue, catalogue), ["item_id"], "ord"),
+        {m: whole(tables.read_occurrences, name) for m, name in events.items()},
+        whole(tables.read_scores, scores))
     tables.write_table(table, out)
     return tables.read_table(spark, out)

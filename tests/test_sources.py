@@ -124,3 +124,18 @@ def test_cluster_without_checkpoint_dir_is_refused(monkeypatch):
 
     with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
         shared_dir(Session())
+
+
+def test_feature_build_takes_every_folder(spark, tmp_path):
+    def put(folder, name, text):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(text)
+
+    put("a", "tropes.csv", "TropeID,Trope,Description\n1,One,first\n2,Two,second\n")
+    put("b", "tropes.csv", "TropeID,Trope,Description\n2,Other,later\n3,Three,third\n")
+    put("a", "film_tropes.csv", "title,trope_id\nx,1\nx,2\n")
+    put("b", "film_tropes.csv", "title,trope_id\ny,2\ny,3\n")
+    put("b", "lit_tropes.csv", "title,trope_id\nz,3\n")
+    out = feature_build.build(spark, str(tmp_path), str(tmp_path / "out" / "features.parquet"))
+    got = sorted((r["item_id"], r["name"], r["n_film"], r["n_lit"]) for r in out.collect())
+    assert got == [("1", "One", 1, 0), ("2", "Two", 2, 0), ("3", "Three", 1, 1)]
