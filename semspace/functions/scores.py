@@ -11,6 +11,7 @@ from .columns import half_even
 
 MEDIA = ("film", "tv", "lit")
 UNUSED = "unused"
+# Palette size, scale of the axes, colour of what has none.
 PALETTE_SLOTS = 24
 AXIS_SCALE = 60
 DEFAULT_COLOR = "#9aa0b8"

@@ -53,6 +53,7 @@ def short_text(c: Column, limit: int = SHORT_LIMIT) -> Column:
 
 def space_case(c: Column) -> Column:
     """CamelCase to words."""
+    # The two patterns.
     c = F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2")
     return F.regexp_replace(c, "([A-Z]+)([A-Z][a-z])", "$1 $2")
 

@@ -14,10 +14,12 @@ from .compose import element_key
 from .skew import HOT_ROWS, hot_keys, legend_lookup, salted_lookup
 
 ITEM_URL = "https://example.org/items/"
+# Numbers of hits that a search looks at and shows, of undiscovered hits, of items in a section.
+SEARCH_FIRST, SEARCH_KEEP, UNDISCOVERED_FIRST, SECTION_KEEP = 40, 30, 8, 400
 AXES = ("map1", "map2", "map3", "pop", "score", "cluster", "film", "tv", "lit", "flat")
 
 
-def search_items(points: DataFrame, query: str, first: int = 40, keep: int = 30) -> DataFrame:
+def search_items(points: DataFrame, query: str, first: int = SEARCH_FIRST, keep: int = SEARCH_KEEP) -> DataFrame:
     """Names containing the query: the first 40 by index, of those the 30 most popular."""
     q = query.strip().lower()
     if not q:
@@ -26,7 +28,7 @@ def search_items(points: DataFrame, query: str, first: int = 40, keep: int = 30)
     return hits.orderBy(F.desc("tot"), "i").limit(keep)
 
 
-def undiscovered_search(items: DataFrame, discoveries: DataFrame, query: str, first: int = 8) -> DataFrame:
+def undiscovered_search(items: DataFrame, discoveries: DataFrame, query: str, first: int = UNDISCOVERED_FIRST) -> DataFrame:
     """Items not discovered whose name contains the query (two characters or more), first 8."""
     q = query.strip().lower()
     if len(q) < 2:
@@ -36,7 +38,7 @@ def undiscovered_search(items: DataFrame, discoveries: DataFrame, query: str, fi
             .orderBy("item_idx").limit(first))
 
 
-def palette_sections(found: DataFrame, query: str = "", keep: int = 400) -> DataFrame:
+def palette_sections(found: DataFrame, query: str = "", keep: int = SECTION_KEEP) -> DataFrame:
     """Discovered items (user_id, kind, item_idx, name) in name order, at most 400 a section,
     with the size of the section. The sections are cut before the shuffle, the sizes are a
     combined aggregate: no section is collected whole."""
