@@ -64,7 +64,7 @@ WITH d AS (
          (CAST('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE)
            / 4503599627370496::DOUBLE AS u
   FROM documents
-), r AS (SELECT doc_id, source, size, u / (1 - u) / length(bin(size)) AS rank FROM d),
+), r AS (SELECT doc_id, source, size, u / (1 - u) AS odds, length(bin(size)) AS digits FROM d),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, sum(source_size) OVER ()::BIGINT AS whole,
               ([3, 1, 2])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM s0),
@@ -77,10 +77,22 @@ s4 AS (SELECT *, coalesce(sum(CASE WHEN is_full THEN source_size END) OVER (), 0
 s5 AS (SELECT source, source_size, CASE WHEN is_full THEN (2 * source_size)::DOUBLE
               ELSE (w * (3 * whole - 4 * cut))::DOUBLE / (2 * open)::DOUBLE END AS target FROM s4),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM s5),
-j AS (SELECT r.doc_id, r.size, s.source_size, s.target, s.copies, s.target - s.copies * s.source_size AS rest,
-             sum(r.size) OVER (PARTITION BY r.source ORDER BY r.rank, r.size, r.doc_id
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until
-      FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source)
+c0 AS (SELECT source, digits, sum(size)::BIGINT AS words FROM r GROUP BY source, digits),
+c1 AS (SELECT c0.*, s.source_size, s.target, s.copies, s.target - s.copies * s.source_size AS rest,
+              coalesce(sum(words) OVER (PARTITION BY c0.source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS above,
+              sum(digits * words) OVER (PARTITION BY c0.source ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS below
+       FROM c0 JOIN s ON c0.source IS NOT DISTINCT FROM s.source),
+c2 AS (SELECT *, (rest - above) * digits > below AS certain FROM c1),
+c3 AS (SELECT *, rest - coalesce(sum(CASE WHEN certain THEN words END) OVER (PARTITION BY source), 0)::BIGINT AS open,
+              coalesce(sum(CASE WHEN NOT certain THEN digits * words END) OVER (PARTITION BY source), 0)::BIGINT AS share FROM c2),
+c AS (SELECT *, CASE WHEN certain THEN 1.0::DOUBLE
+                ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN share > 0 THEN open / share::DOUBLE ELSE 0.0::DOUBLE END * digits)) END AS pi FROM c3),
+k AS (SELECT r.doc_id, r.source, r.size, c.source_size, c.target, c.copies, c.rest,
+             CASE WHEN pi > 0 THEN odds * ((1 - pi) / pi) ELSE odds + 1e18::DOUBLE END AS rank
+      FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source AND r.digits = c.digits),
+j AS (SELECT doc_id, size, source_size, target, copies, rest,
+             sum(size) OVER (PARTITION BY source ORDER BY rank, size, doc_id
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until FROM k)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * (copies + CASE WHEN until - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM j
 """

@@ -3,17 +3,21 @@
 Sources, ordered by code point with null last, have weights 3, 1, 2, repeating. They share 150 % of all
 words by weight; no target exceeds twice its source's words, and what is cut off is shared again by
 weight among the rest. A source with ratio r = target / words takes floor(r) certain copies of every
-document. The fraction that is left is sampled: documents are ranked by random odds u / (1 - u) over
-inclusion odds, which grow with the binary digits of a document's size, and taken in this order until
-their words meet the rest of the target (the last one if at least half of it fits). u comes from the MD5
-of seed and doc_id, so reruns agree.
-
-The cut needs no sorted source: words are summed by source and by 4096 ranges of the rank, and only the
-one range per source in which the cut falls is ordered. One row per source is joined back.
-
-Null and empty texts have size 0 and are never taken. Repeated rows are documents of their own that rank
-together. A null source is a source; a null doc_id ranks as the empty string. Columns of the input are
-carried in one struct, so that no name clashes.
+document. The fraction that is left is sampled with unequal probabilities: a document of b binary digits of
+size has inclusion probability pi = min(1, c b), with the c of its source for which the expected words are
+the rest of the target. Documents are ranked by their random odds over their inclusion odds,
+u / (1 - u) * (1 - pi) / pi, and taken in this order until their words meet the rest (the last one if at
+least half of it fits): a sample of fixed size, in words. u comes from the MD5 of seed and doc_id, so reruns
+agree.
+
+Sizes are summed by source and digits (at most 64 rows a source), which gives c exactly. The cut needs no
+sorted source: words are summed by source and by 4096 ranges of the rank, and only the one range per source in
+which the cut falls is ordered. Rows per source are joined back.
+
+Null and empty texts have size 0 and are never taken; a very long text is counted whole. Repeated rows are
+documents of their own that rank together; ties of rank go by size and doc_id. A null source is a source; a
+null doc_id ranks as the empty string. An empty table gives no rows. Columns of the input are carried in one
+struct, so that no name clashes.
 """
 
 from __future__ import annotations
@@ -36,15 +40,12 @@ def words(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, carry: list[str], seed: str = SEED) -> DataFrame:
-    """(row, source, size, rank, bucket): ``row`` holds the columns of ``carry``."""
+    """(row, source, size, digits, id, u): ``row`` holds the columns of ``carry``."""
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10)
     u = (u.cast("long").cast("double") + 0.5) / float(1 << 52)
-    base = docs.select(F.struct(*carry).alias("row"), F.col("source").alias("source"), words(F.col("text")).alias("size"),
+    rows = docs.select(F.struct(*carry).alias("row"), F.col("source").alias("source"), words(F.col("text")).alias("size"),
                        F.col("doc_id").alias("id"), u.alias("u"))
-    rank = F.col("u") / (1 - F.col("u")) / F.length(F.bin("size"))
-    scaled = rank * 8
-    return base.select("row", "source", "size", "id", rank.alias("rank"),
-                       F.floor(scaled / (1 + scaled) * RANGES).alias("bucket"))
+    return rows.withColumn("digits", F.length(F.bin("size")))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -67,29 +68,56 @@ def targets(sizes: DataFrame) -> DataFrame:
                     F.when(F.col("full"), (2 * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
 
 
-def allocate(rows: DataFrame) -> DataFrame:
-    """``rows`` of ``sized`` with source_size, target and copies (0, 1 or 2)."""
-    ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    per_source = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")))
+def inclusion(rows: DataFrame) -> DataFrame:
+    """(t, digits, source_size, target, whole, rest, pi), one row per source t and number of digits."""
+    classes = rows.groupBy("source", "digits").agg(F.sum("size").alias("words"))
+    per_source = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per_source = per_source.withColumn("whole", F.floor(ratio)).withColumn(
-        "rest", F.col("target") - F.col("whole") * F.col("source_size"))
+        "rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "t")
+    each = classes.join(per_source, F.col("source").eqNullSafe(F.col("t")))
+    larger = Window.partitionBy("source").orderBy(F.desc("digits")).rowsBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy("source").orderBy(F.desc("digits")).rowsBetween(0, Window.unboundedFollowing)
+    weighted = F.col("digits") * F.col("words")
+    each = each.withColumn("above", F.coalesce(F.sum("words").over(larger), F.lit(0))).withColumn(
+        "below", F.sum(weighted).over(others))
+    # certain: with all larger ones certain, c times its digits would exceed 1
+    each = each.withColumn("certain", (F.col("rest") - F.col("above")) * F.col("digits") > F.col("below"))
+    alone = Window.partitionBy("source")
+    left = F.col("rest") - F.coalesce(F.sum(F.when(F.col("certain"), F.col("words"))).over(alone), F.lit(0))
+    share = F.coalesce(F.sum(F.when(~F.col("certain"), weighted)).over(alone), F.lit(0))
+    c = F.when(share > 0, left / F.when(share > 0, share)).otherwise(F.lit(0.0))
+    pi = F.when(F.col("certain"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c * F.col("digits"))))
+    return each.withColumn("pi", pi).select("t", F.col("digits").alias("d"), "source_size", "target", "whole", "rest", "pi")
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``sized`` with source_size, target, whole, rest, rank and bucket."""
+    # at most 64 rows a source: broadcast while they are few, so that a source with a third of all rows stays spread
+    per = small_broadcast(keep(inclusion(rows), "inclusion"))
+    joined = rows.join(per, F.col("source").eqNullSafe(F.col("t")) & (F.col("digits") == F.col("d"))).drop("t", "d")
+    odds = F.col("u") / (1 - F.col("u"))
+    # beyond every rank where nothing is to be taken
+    rank = F.when(F.col("pi") > 0, odds * ((1 - F.col("pi")) / F.when(F.col("pi") > 0, F.col("pi")))).otherwise(odds + 1e18)
+    return joined.withColumn("rank", rank).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * RANGES))
+
+
+def allocate(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``sized`` with source_size, target and copies (0, 1 or 2)."""
+    rows = ranked(rows)
+    ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.any_value("rest").alias("rest"))
     run = Window.partitionBy("source").orderBy("bucket")
-    ends = ranges.withColumn("end", F.sum("words").over(run)).withColumnRenamed("source", "s")
     # the range in which the cut falls: the first that ends beyond the rest
-    cut = ends.join(per_source.select(F.col("source").alias("t"), "rest"), F.col("s").eqNullSafe(F.col("t"))).where(
-        F.col("end") > F.col("rest")).groupBy("s").agg(F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("base"))).alias("c"))
-    stats = per_source.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("t"), "source_size", "target", "whole", "rest",
-        F.coalesce("c.bucket", F.lit(RANGES + 1)).alias("at"), F.coalesce("c.base", F.lit(0)).alias("base"))
-    # a row per source: broadcast while they are few, so that a source with a third of all rows stays spread
-    stats = small_broadcast(keep(stats, "sources"))
-    joined = rows.join(stats, F.col("source").eqNullSafe(F.col("t"))).drop("t")
+    ends = ranges.withColumn("end", F.sum("words").over(run)).groupBy(F.col("source").alias("t")).agg(F.min(F.when(
+        F.col("end") > F.col("rest"), F.struct("bucket", (F.col("end") - F.col("words")).alias("base")))).alias("c"))
+    ends = ends.select("t", F.coalesce("c.bucket", F.lit(RANGES + 1)).alias("at"), F.coalesce("c.base", F.lit(0)).alias("base"))
+    joined = rows.join(small_broadcast(keep(ends, "cuts")), F.col("source").eqNullSafe(F.col("t"))).drop("t")
     sure = joined.where("bucket <> at").withColumn("more", (F.col("bucket") < F.col("at")).cast("int"))
     order = Window.partitionBy("source").orderBy("rank", "size", "id").rowsBetween(Window.unboundedPreceding, 0)
     edge = joined.where("bucket = at").withColumn("until", F.col("base") + F.sum("size").over(order))
     edge = edge.withColumn("more", (F.col("until") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("until")
-    return sure.unionByName(edge).select("row", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0).cast("int").alias("copies"))
+    return sure.unionByName(edge).select("row", "size", "source_size", "target", "pi", F.when(
+        F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0).cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
