@@ -10,8 +10,8 @@ with the chunk's bytes, the content bytes so far, and the digest of the payload
 never held whole: what a task holds is one compressed block, one chunk and the digest's state. Files are
 the unit of work; their size is bounded by the input split of the task that wrote them.
 
-Null html is an empty payload. Rows that repeat are records of their own (equal page_id: none revisits the
-other). Rows without page_id are written with an empty id and read back with null; they are always
+Null html is an empty payload. Rows that repeat are records of their own (equal page_id and html: none
+revisits the other); a page_id with several payloads has a decision for each of them. Rows without page_id are written with an empty id and read back with null; they are always
 responses and never revisited. An empty table gives no records.
 """
 
@@ -42,13 +42,13 @@ RECORDS = ("page_id long, chunk int, chunk_bytes int, data binary, bytes_so_far
 
 
 def _decisions(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of pages that are revisits."""
+    """(page_id, digest, refers_to) of payloads of pages that are revisits."""
     size = F.octet_length("html")
     large = pages.where(F.col("page_id").isNotNull() & (size >= LEAST_REVISIT)).select(
         "page_id", F.sha2("html", 256).alias("digest"), size.alias("n"))
     last = large.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"))
     last = last.where("least < refers_to").drop("least")
-    return large.join(last, ["digest", "n"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return large.join(last, ["digest", "n"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
@@ -61,7 +61,8 @@ def _one_line(text: str) -> str:
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """(path, records, bytes) of the archives written for ``pages`` (page_id, url, html)."""
-    rows = pages.select("page_id", "url", "html").join(_decisions(pages), "page_id", "left").select(
+    rows = pages.select("page_id", "url", "html", F.sha2("html", 256).alias("digest"))
+    rows = rows.join(_decisions(pages), ["page_id", "digest"], "left").select(
         "page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("html"), "refers_to")
 
     def write(batches):

@@ -164,6 +164,10 @@ def test_warc(spark):
     want = [(i, len((h or "").encode()), sha(h), "revisit" if i == 1 else "response", 2 if i == 1 else None) for i, _, h in rows]
     assert got == sorted(want, key=str)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    a, b = "a" * 1000, "b" * 1000
+    again = spark.createDataFrame([(1, "u", a), (1, "u", b), (2, "u", a), (3, "u", b)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_digest, r.refers_to) for r in warc.round_trip(again).collect())
+    assert got == sorted([(1, sha(a), 2), (1, sha(b), 3), (2, sha(a), None), (3, sha(b), None)], key=lambda r: r[:2])
 
 
 def test_neighbours(spark):
@@ -181,6 +185,27 @@ def test_neighbours(spark):
     near = (unit @ unit.T >= 0.93).sum(1) - 1
     assert all(mine[i].n_links == near[i] for i in range(1, 10) if i % 10)
     assert neighbours.near_duplicates(vectors.limit(0)).count() == 0
+    v, w, u = x[0].tolist(), (x[0] + 0.001 * x[1]).tolist(), (x[0] + 0.001 * x[2]).tolist()
+    again = spark.createDataFrame([(0, v, 1), (0, w, 1), (0, v, 1), (5, u, 1), (0, x[3].tolist(), 2), (6, x[3].tolist(), 2)],
+                                  vectors.select("vec_id", "embedding", "label").schema)
+    got = sorted(tuple(r) for r in neighbours.near_duplicates(again).collect())
+    assert got == [(0, 1, 0, True), *[(0, 2, 0, True)] * 3, (5, 2, 0, False), (6, 1, 0, False)]
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_neighbours_find_planted_pairs(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=(n, 64))
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    y = 0.9301 * x + np.sqrt(1 - 0.9301 ** 2) * y
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    found = sum(r.n_links > 0 for r in got if r.vec_id < n)
+    assert found >= 0.99 * n and all(r.component_id in (r.vec_id, r.vec_id - n) for r in got)
+    assert neighbours.tables_for(1 << 16, 0.93) == (42, 16) and neighbours.tables_for(1 << 40, 0.93)[1] == 30
 
 
 def test_components(spark):
