@@ -10,7 +10,7 @@ from ..operators import explore as X
 from ..operators.nearest import NearestIndex, knn_graph
 from ..operators.points import assemble_points as assemble
 from ..operators.points import points_meta
-from ..plans.project import affinity_profile
+from ..plans.project import affinity_profile, project
 from ..sources.storage import materialize, scratch_path
 from ..sources.tables import read_points_json, write_points_json
 from . import data as D
@@ -195,6 +195,20 @@ def palette_sections(spark, sf):
     return X.palette_sections(found).select("user_id", "kind", "item_idx", "name", "rank", "section_size")
 
 
+@register(f"""WITH {D.UNIVERSE},{D.FOUND}, once AS (SELECT DISTINCT user_id, item_idx, kind, kind || '_' || item_idx AS name FROM found),
+              hit AS (SELECT user_id, kind, item_idx, name FROM once WHERE contains(lower(name), '1')
+                      UNION ALL SELECT user_id, 'root', seed_idx, name FROM (SELECT DISTINCT user_id FROM once), seeds
+                      WHERE contains(lower(name), '1'))
+              SELECT user_id, kind, item_idx, name, CAST(rank AS INT) AS rank, section_size FROM (
+                SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY CASE WHEN kind <> 'root' THEN name END, item_idx) AS rank,
+                       count(*) OVER (PARTITION BY user_id, kind) AS section_size FROM hit) WHERE rank <= 400 OR kind = 'root'""")
+def palette_with_roots(spark, sf):
+    """All sections for a query, the roots among them."""
+    found = D.found_items(spark, sf).select("user_id", "kind", "item_idx", "name").distinct()
+    return X.palette_sections(found, "1", roots=D.seeds(spark, sf)).select(
+        "user_id", "kind", "item_idx", "name", "rank", "section_size")
+
+
 # -- points -------------------------------------------------------------------------------------
 
 POINTS_SQL = f"""WITH {D.AFFINITY},{D.GROUPS},{D.FEATURES},
@@ -254,6 +268,19 @@ def points_json(spark, sf):
     return flat(read_points_json(spark, path, rows.schema))
 
 
+PLAN_SQL = f"""SELECT i, id, name, sg, gen, g3, sa, media, nf, nt, nl, tot, g, d, nn FROM ({POINTS_SQL})"""
+
+
+@register(PLAN_SQL)
+def project_points(spark, sf):
+    """The whole projection plan over all embeddings; the columns that SQL can say (layout and clusters are
+    iterative)."""
+    items = D.items(spark, sf)
+    made = project(items.select("item_id", "v"), features(spark, sf).withColumn("item_id", F.col("item_id").cast("long")),
+                   D.anchors(spark, sf), D.groups(spark, sf))
+    return flat(made.points).select("i", "id", "name", "sg", "gen", "g3", "sa", "media", "nf", "nt", "nl", "tot", "g", "d", "nn")
+
+
 # points over the parts: media = return flags of their line items, popularity = number of them
 PART_POINTS = """
 counts AS (SELECT l_partkey, count(*) FILTER (l_returnflag = 'A') AS nf, count(*) FILTER (l_returnflag = 'N') AS nt,

@@ -27,6 +27,15 @@ def scan_csv(spark, sf):
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text")
 
 
+@register("SELECT CAST(l_partkey AS VARCHAR) AS item_id, count(*) AS n FROM lineitem GROUP BY l_partkey")
+def csv_occurrences(spark, sf):
+    """Occurrences per item, read from a CSV of which only the id column is wanted."""
+    path = f"{scratch_path(spark, 'occurrences')}/film_tropes.csv"
+    tables.write_table(D.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("trope_id"), "l_returnflag"), path)
+    return tables.read_occurrences(spark, path).groupBy("item_id").agg(F.count("*").alias("n"))
+
+
 @register("SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS event_type FROM events")
 def na_tokens(spark, sf):
     token = F.when(F.col("event_type") == "error", "NA").otherwise(F.col("event_type"))

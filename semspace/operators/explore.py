@@ -38,11 +38,26 @@ def undiscovered_search(items: DataFrame, discoveries: DataFrame, query: str, fi
             .orderBy("item_idx").limit(first))
 
 
-def palette_sections(found: DataFrame, query: str = "", keep: int = SECTION_KEEP) -> DataFrame:
+def palette_sections(found: DataFrame, query: str = "", keep: int = SECTION_KEEP, roots: DataFrame | None = None,
+                     users: DataFrame | None = None) -> DataFrame:
     """Discovered items (user_id, kind, item_idx, name) in name order, at most 400 a section,
     with the size of the section. The sections are cut before the shuffle, the sizes are a
-    combined aggregate: no section is collected whole."""
+    combined aggregate: no section is collected whole.
+
+    ``roots`` (seed_idx, name): a section of kind ``root`` for every row of ``users`` (user_id; those of ``found``
+    by default), in seed order and never cut, as the roots are owned from the start.
+    """
     q = query.strip().lower()
+    if roots is not None:
+        users = (found if users is None else users).select("user_id").distinct()
+        shown = palette_sections(found, query, keep)
+        named = roots.where(F.lower("name").contains(q)) if q else roots
+        order = F.sort_array(F.collect_list(F.struct("seed_idx", "name")))  # a handful of roots
+        owned = users.withColumn("_roots", named.agg(order.alias("r")).scalar()).select(
+            "user_id", F.size("_roots").cast("long").alias("section_size"), F.posexplode("_roots").alias("rank", "_root"))
+        return shown.unionByName(owned.select(
+            "user_id", F.lit("root").alias("kind"), F.col("_root.seed_idx").cast(shown.schema["item_idx"].dataType).alias("item_idx"),
+            F.col("_root.name").alias("name"), (F.col("rank") + 1).alias("rank"), "section_size"))
     if q:
         found = found.where(F.lower("name").contains(q))
     sizes = found.groupBy("user_id", "kind").agg(F.count("*").alias("section_size"))

@@ -192,6 +192,14 @@ def test_palette_cuts_long_sections(spark):
     sizes = {(r["kind"], r["section_size"]): r["n"] for r in got.groupBy("kind", "section_size").agg(F.count("*").alias("n")).collect()}
     assert sizes == {("item", 900): 400, ("word", 100): 100}
     assert X.palette_sections(found, query="0007").count() == 1
+    roots = spark.createDataFrame([(1, "Water"), (0, "Fire 0007")], "seed_idx long, name string")
+    users = spark.createDataFrame([(1,), (2,)], "user_id int")  # the second has found nothing yet
+    whole = X.palette_sections(found, keep=400, roots=roots, users=users)
+    assert [tuple(r) for r in whole.where("kind = 'root'").select("user_id", "name", "rank", "section_size").orderBy("user_id", "rank").collect()] == [
+        (1, "Fire 0007", 1, 2), (1, "Water", 2, 2), (2, "Fire 0007", 1, 2), (2, "Water", 2, 2)]
+    hits = X.palette_sections(found, query="0007", roots=roots, users=users).collect()
+    assert sorted((r["user_id"], r["kind"], r["section_size"]) for r in hits) == [(1, "item", 1), (1, "root", 1), (2, "root", 1)]
+    assert X.palette_sections(found, query="none such", roots=roots).count() == 0
 
 
 def test_axis_remap_falls_back_to_the_layout(spark):
