@@ -2,14 +2,19 @@
 
 Each source is a queue: its documents' ids, each document followed by the separator, in a fixed order.
 Round-robin gives a queue a quantum of about its target share of a window per round; what a queue is
-owed below a whole quantum stays its deficit for the next window. Target proportions are the queues'
-shares of all tokens, so all queues end together and every id is packed.
+owed below a whole quantum stays its deficit for the next window. ``targets`` weighs the sources; without it
+they weigh as much as they hold, so all queues end together. Every id is packed either way: when a queue is
+empty the others go on in their own proportions, and sources that ``targets`` leaves out or weighs 0 follow
+after all others, by their sizes.
 
 The schedule has a closed form, which is what carries deficits across windows *and* partitions without
-a sequential pass: quantum j of queue q falls due at (j + 1/2) * quantum_q / total_q, and the number of
-quanta of any other queue that are due before it needs only that queue's total. So every task computes
-the places of its own documents, all tasks agree, and only one total per queue is gathered. Queues are at
-most MAX_QUEUES: sources beyond the most frequent ones share queues by hash.
+a sequential pass: quantum j of queue q falls due at (j + 1/2) * quantum_q / weight_q, and the number of
+quanta of any other queue that are due before it needs only that queue's weight and total. So every task
+computes the places of its own documents, all tasks agree, and only one total per queue is gathered.
+``deficits`` tells per window what each queue is still owed.
+
+Only the MAX_QUEUES most frequent sources and those of ``targets`` have queues of their own; the others share
+SHARED_QUEUES queues by hash, so in the windows these keep the proportions of the shared queues only.
 
 The stream of quanta is cut into windows. All are full but the last one, whose rest is cut into sequences
 of descending powers of two: nothing is padded.
@@ -35,21 +40,25 @@ WINDOW = 4096
 SEPARATOR = 2
 LEAST_QUANTUM = 128
 MAX_QUEUES, SHARED_QUEUES = 1000, 24
+CELLS = 1 << 16
+BLOCK = 4096  # windows whose running sums are made in one task
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, queue int")
 
 
-def queues(docs: DataFrame, source: str) -> dict:
-    """source -> queue of the at most MAX_QUEUES most frequent sources."""
+def queues(docs: DataFrame, source: str, targets: dict | None = None) -> dict:
+    """source -> queue of the at most MAX_QUEUES most frequent sources and of the sources of ``targets``."""
     top = docs.groupBy(source).count().orderBy(F.desc("count"), source).limit(MAX_QUEUES).collect()
-    return {row[0]: i for i, row in enumerate(top)}
+    named = {row[0]: i for i, row in enumerate(top)}
+    for name in targets or {}:
+        named.setdefault(name, MAX_QUEUES + SHARED_QUEUES + len(named))
+    return named
 
 
-def encoded(docs: DataFrame, path: str, separator: int = SEPARATOR, source: str = "source") -> DataFrame:
+def encoded(docs: DataFrame, path: str, separator: int, source: str, named: dict) -> DataFrame:
     """(doc_id, queue, part, start, n, ids): a document's ids with the separator, and its place in the
     stream of its queue within this part."""
-    named = queues(docs, source)
     schema = "doc_id long, queue int, part int, start long, n long, ids binary"
 
     def encode(batches):
@@ -83,14 +92,26 @@ def encoded(docs: DataFrame, path: str, separator: int = SEPARATOR, source: str
 
 
 class Schedule:
-    """Places of quanta in the merged stream, from the totals of the queues."""
+    """Places of quanta in the merged stream, from the totals of the queues and their weights."""
 
-    def __init__(self, totals: dict[int, int], window: int = WINDOW, least: int = LEAST_QUANTUM):
+    def __init__(self, totals: dict[int, int], window: int = WINDOW, least: int = LEAST_QUANTUM,
+                 weights: dict[int, float] | None = None):
         self.window = window
         self.queues = np.array(sorted(totals), np.int64)
         self.totals = np.array([totals[q] for q in self.queues.tolist()], np.int64)
         self.total = int(self.totals.sum())
+        self.weight, self.offset = self.totals.astype(np.float64), np.zeros(len(self.queues))
         share = self.totals / max(self.total, 1)
+        if weights is not None:
+            given = np.array([weights.get(q, 0.0) for q in self.queues.tolist()], np.float64)
+            named = given > 0
+            for group in (named, ~named):  # each group's shares are its own
+                w = np.where(group, given if group is named else self.totals, 0)
+                share = np.where(group, w / max(w.sum(), 1e-300), share)
+            if named.any():  # the named queues end by time 1, the others run from 2 to 3
+                given *= (self.totals[named] / given[named]).max()
+                self.weight = np.where(named, given, self.weight)
+                self.offset = np.where(named, 0.0, 2.0)
         self.quantum = np.clip(np.rint(share * window).astype(np.int64), min(least, window), window)
         self.count = -(-self.totals // self.quantum)
         rest, at, cuts = self.total % window, self.total - self.total % window, []
@@ -101,25 +122,42 @@ class Schedule:
         self.full = self.total // window
         self.tail = np.array(cuts, np.int64)
 
-    def due(self, k: int, j: np.ndarray) -> np.ndarray:
-        return (j + 0.5) * self.quantum[k] / self.totals[k]
-
-    def place(self, k: int, j: np.ndarray) -> np.ndarray:
-        """Tokens before quantum ``j`` of the k-th queue."""
-        when, place = self.due(k, j), np.zeros(len(j), np.int64)
-        for other in range(len(self.queues)):
-            if other == k:
-                n = j
-            else:
-                n = np.clip((when * self.totals[other] / self.quantum[other] + 0.5).astype(np.int64), 0, self.count[other])
-                before = (lambda m, o=other: self.due(o, m) <= when) if other < k else (lambda m, o=other: self.due(o, m) < when)
-                for _ in range(3):
-                    n = np.where((n > 0) & ~before(n - 1), n - 1, n)
-                for _ in range(3):
-                    n = np.where((n < self.count[other]) & before(n), n + 1, n)
-            place += np.minimum(n * self.quantum[other], self.totals[other])
+    def due(self, k: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.offset[k] + (j + 0.5) * self.quantum[k] / self.weight[k]
+
+    def place(self, k: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Tokens before quantum ``j`` of the k-th queue, a bounded number of cells (quantum, other queue) at a time."""
+        place, other = np.empty(len(j), np.int64), np.arange(len(self.queues))[None, :]
+        step = max(1, CELLS // len(self.queues))
+        for lo in range(0, len(j), step):
+            mine, own = k[lo: lo + step, None], j[lo: lo + step, None]
+            when = self.due(mine, own)
+
+            def before(n, mine=mine, when=when):
+                due = self.due(other, n)
+                return (due < when) | ((due == when) & (other < mine))
+
+            n = np.clip((when - self.offset) * self.weight / self.quantum + 0.5, 0, self.count).astype(np.int64)
+            for _ in range(3):
+                n -= (n > 0) & ~before(n - 1)
+            for _ in range(3):
+                n += (n < self.count) & before(n)
+            n = np.where(other == mine, own, n)
+            place[lo: lo + step] = np.minimum(n * self.quantum, self.totals).sum(1)
         return place
 
+    def owed(self, k: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Tokens that the k-th queue would have among the first ``place`` if they were dealt in exact proportion."""
+        turns = np.unique(np.concatenate([self.offset, self.offset + self.totals / self.weight]))
+        sums = np.clip((turns[:, None] - self.offset) * self.weight, 0, self.totals).sum(1)
+        time = np.interp(place, sums, turns)
+        return np.clip((time - self.offset[k]) * self.weight[k], 0, self.totals[k])
+
+    def ends(self, sequence: np.ndarray) -> np.ndarray:
+        """Tokens up to the end of each sequence."""
+        tail = np.concatenate([self.tail, [self.total]])
+        return np.where(sequence < self.full, (sequence + 1) * self.window, tail[np.clip(sequence - self.full, 0, len(tail) - 1)])
+
     def end(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sequence, first place, end place) of the sequences at ``place``."""
         sequence = place // self.window
@@ -143,10 +181,7 @@ class Schedule:
         j = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         lo = np.maximum(j * quantum[row], start[row])
         hi = np.minimum((j + 1) * quantum[row], (start + n)[row])
-        place = np.empty(len(row), np.int64)
-        for one in np.unique(k):
-            mine = np.flatnonzero(k[row] == one)
-            place[mine] = self.place(int(one), j[mine]) + lo[mine] - j[mine] * self.quantum[one]
+        place = self.place(k[row], j) + lo - j * quantum[row]
         at, left, found = lo - start[row], hi - lo, []
         while len(row):
             sequence, begin, end = self.end(place)
@@ -166,14 +201,53 @@ class Schedule:
 
 
 def pack(docs: DataFrame, path: str | None = None, separator: int = SEPARATOR, window: int = WINDOW,
-         source: str = "source") -> DataFrame:
+         source: str = "source", targets: dict | None = None) -> DataFrame:
     """One row per piece, see PIECES: doc_id, start and length in the document's ids, crc32 of the ids,
-    the document's ids in all, sequence, offset there, queue."""
-    table = keep(encoded(docs, path or default_path(), separator, source), "encoded")
+    the document's ids in all, sequence, offset there, queue. ``targets``: source -> weight, at most MAX_QUEUES."""
+    return _packed(docs, path, separator, window, source, targets)[0]
+
+
+def pack_with_deficits(docs: DataFrame, path: str | None = None, separator: int = SEPARATOR, window: int = WINDOW,
+                       source: str = "source", targets: dict | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """(pieces, deficits, source -> queue), see ``pack`` and ``deficits``; the pieces are written once."""
+    pieces, plan, named = _packed(docs, path, separator, window, source, targets)
+    pieces = keep(pieces, "pieces")
+    return pieces, deficits(pieces, plan), named
+
+
+def deficits(pieces: DataFrame, plan: Schedule) -> DataFrame:
+    """(sequence_id, queue, tokens, deficit): tokens of a queue in a sequence, and what it is owed at the end of
+    that sequence (negative: ahead of its share). A sequence without tokens of a queue has no row for it.
+
+    Running sums are made in blocks of BLOCK sequences and over one row per block."""
+    per = pieces.groupBy("sequence_id", "queue").agg(F.sum("length").alias("tokens")).withColumn("block", F.expr(f"sequence_id div {BLOCK}"))
+    per = keep(per, "window-tokens")
+    earlier = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = per.groupBy("queue", "block").agg(F.sum("tokens").alias("sum")).select(
+        "queue", "block", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("queue", "block").orderBy("sequence_id").rowsBetween(Window.unboundedPreceding, 0)
+    running = per.join(blocks, ["queue", "block"]).select(
+        "sequence_id", "queue", "tokens", (F.col("base") + F.sum("tokens").over(within)).alias("placed"))
+
+    def owed(batches):
+        for batch in batches:
+            sequence, queue, _, placed = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            left = plan.owed(np.searchsorted(plan.queues, queue), plan.ends(sequence)) - placed
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(left)], ["sequence_id", "queue", "tokens", "deficit"])
+
+    return running.mapInArrow(owed, "sequence_id long, queue int, tokens long, deficit double")
+
+
+def _packed(docs: DataFrame, path: str | None, separator: int, window: int, source: str, targets: dict | None):
+    if targets is not None and (len(targets) > MAX_QUEUES or not all(0 <= w < float("inf") for w in targets.values())):
+        raise ValueError(f"targets: at most {MAX_QUEUES} sources with finite weights of 0 or more")
+    named = queues(docs, source, targets)
+    table = keep(encoded(docs, path or default_path(), separator, source, named), "encoded")
     parts = table.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = keep(parts.select("queue", "part", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")), "parts")
-    plan = Schedule({r[0]: r[1] for r in base.groupBy("queue").agg(F.sum("tokens")).collect()}, window)
+    weights = None if targets is None else {named[name]: w for name, w in targets.items()}
+    plan = Schedule({r[0]: r[1] for r in base.groupBy("queue").agg(F.sum("tokens")).collect()}, window, weights=weights)
 
     def cut(batches):
         for batch in batches:
@@ -196,4 +270,5 @@ def pack(docs: DataFrame, path: str | None = None, separator: int = SEPARATOR, w
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
 
     placed = table.join(base.select("queue", "part", "base"), ["queue", "part"])
-    return placed.select("doc_id", "queue", (F.col("start") + F.col("base")).alias("start"), "n", "ids").mapInArrow(cut, PIECES)
+    pieces = placed.select("doc_id", "queue", (F.col("start") + F.col("base")).alias("start"), "n", "ids").mapInArrow(cut, PIECES)
+    return pieces, plan, named
