@@ -101,6 +101,20 @@ def test_closure_equals_the_model(spark, index):
     assert done.recipes.count() == done.total == len(v) and done.reached == len(got)
 
 
+@pytest.mark.parametrize("cells", [None, 2000])
+def test_settled_items_are_not_searched_again(spark, monkeypatch, cells):
+    v, r = unit(np.random.default_rng(3).standard_normal((40, 6))), unit(np.random.default_rng(6).standard_normal((3, 6)))
+    if cells:
+        monkeypatch.setattr(M, "RUN_CELLS", cells)  # a few anchors a run
+    left, expand = [], M.expand_round
+    monkeypatch.setattr(M, "expand_round", lambda *a, **k: left.append((~a[3].flags).sum()) or expand(*a, **k))
+    done = M.reach_closure(frame(spark, v, "item_idx"), frame(spark, r, "seed_idx"))
+    got = {row["item_idx"]: (row["a_kind"], row["a_idx"], row["b_kind"], row["b_idx"])
+           for row in done.recipes.where("a_kind is not null").collect()}
+    assert got == model_closure(v, r)
+    assert done.reached == len(v) and min(left) > 0  # no round once everything is reached
+
+
 def test_unreachable_items_are_reported(spark):
     v = unit(np.array([[1, 0.0], [1, 0.1], [1, -0.1], [-1, 0.0]]))  # nothing points away from the seed
     done = M.reach_closure(frame(spark, v, "item_idx"), frame(spark, np.array([[1.0, 0.0]]), "seed_idx"))
