@@ -26,6 +26,9 @@ LOCAL_TERMS = 200_000  # terms that are sent to every task; a larger vocabulary
 FEW_TASKS = 64  # whose partial sums are added in one round
 LOCAL_FACTOR_BYTES = 16 << 20  # of terms x width that the driver and every task hold
 
+BATCH_ROWS = 500  # documents that go to Python at once
+SLICE_TERMS = 1 << 18  # terms that are counted together; one longer document is a slice of its own
+
 TOKEN_PATTERN = r"([\p{L}\p{N}_]{2,})"
 
 
@@ -46,6 +49,52 @@ def word_ngrams(text: Column, stop_words: Sequence[str] = ENGLISH) -> Column:
     return let(words(text, stop_words), with_pairs)
 
 
+def _runs(terms: Column) -> Column:
+    """(term, tf) of the distinct terms of an array."""
+    def of(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)),
+                          lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, F.greatest(i - 2, F.lit(0)))))
+        ends = lambda p: F.concat(F.slice(p, F.lit(2), F.size(p)), F.array(F.size(s) + 1))
+        return let(starts, lambda p: F.zip_with(p, ends(p), lambda a, z: F.struct(
+            F.get(s, a - 1).alias("term"), (z - a).cast("long").alias("tf"))))
+
+    return F.when(F.size(terms) > 0, let(F.sort_array(terms), of))
+
+
+def term_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf) of (key, terms). A row's terms are counted in the row and do not move; only rows whose
+    key is repeated meet by key and term."""
+    again = materialize(docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("_key"), F.lit(True).alias("_again")), "again")
+    marked = docs.join(again, docs[key].eqNullSafe(again["_key"]), "left")
+    counted = marked.select(key, "_again", F.explode(_runs(F.col("terms"))).alias("c")).select(key, "_again", "c.*")
+    if again.isEmpty():
+        return counted.select(key, "term", "tf")
+    shared = counted.where("_again").groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    return counted.where("_again is null").select(key, "term", "tf").unionByName(shared)
+
+
+def _in_few(docs: DataFrame) -> DataFrame:
+    """``docs``, of which, unless the session sets another number, ``BATCH_ROWS`` rows go to Python at once: Spark's own
+    10,000 documents would be as large as their texts are long."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) == 10_000:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
+def _slices(incoming: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs of at most ``SLICE_TERMS`` terms."""
+    limit = limit or SLICE_TERMS
+    for batch in incoming:
+        ends = np.cumsum(batch.column("terms").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(row, code, count) of every distinct term of every row, in order, and the terms by code."""
     column = batch.column("terms")
@@ -68,13 +117,13 @@ def vocabulary(docs: DataFrame, min_df: int = 3, max_features: int | None = 50_0
     of terms.
     """
     def count(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in incoming:
+        for batch in _slices(incoming):
             _, code, n, terms = _cells(batch)
             total = np.bincount(code, n, len(terms)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [terms, pa.array(total), pa.array(np.bincount(code, minlength=len(terms)).astype(np.int64))], names=["term", "n", "df"])
 
-    totals = (docs.select("terms").mapInArrow(count, "term string, n long, df long").where("term is not null")
+    totals = (_in_few(docs).select("terms").mapInArrow(count, "term string, n long, df long").where("term is not null")
               .groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).where(F.col("df") >= min_df))
     if max_features is None:
         return totals
@@ -134,7 +183,7 @@ def tfidf(docs: DataFrame, fitted: Tfidf, key: str = "doc_id", local_terms: int
     def run(incoming):
         terms, idf = held.value
         known = pa.array(terms, pa.string())
-        for batch in incoming:
+        for batch in _slices(incoming):
             rows, code, tf, own = _cells(batch)
             found = pc.index_in(own, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)[code]
             rows, found, tf = rows[found >= 0], found[found >= 0], tf[found >= 0]
@@ -151,7 +200,7 @@ def tfidf(docs: DataFrame, fitted: Tfidf, key: str = "doc_id", local_terms: int
                  pa.ListArray.from_arrays(offsets, pa.array(weights))],
                 names=[key, "indices", "values"])
 
-    return docs.select(key, "terms").mapInArrow(run, _sparse_schema(docs, key))
+    return _in_few(docs).select(key, "terms").mapInArrow(run, _sparse_schema(docs, key))
 
 
 def _sparse_schema(docs: DataFrame, key: str) -> T.StructType:
@@ -169,7 +218,7 @@ def _joined_tfidf(docs: DataFrame, fitted: Tfidf, key: str, local_terms: int) ->
 
     def run(incoming):
         known, index, idf = held.value
-        for batch in incoming:
+        for batch in _slices(incoming):
             rows, code, tf, own = _cells(batch)
             at = pc.index_in(own, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)[code]
             common = at >= 0
@@ -183,7 +232,7 @@ def _joined_tfidf(docs: DataFrame, fitted: Tfidf, key: str, local_terms: int) ->
 
     schema = T.StructType([docs.schema[key], T.StructField("term", T.StringType()), T.StructField("term_idx", T.LongType()),
                            T.StructField("weight", T.DoubleType())])
-    cells = materialize(docs.select(key, "terms").mapInArrow(run, schema), "cells")
+    cells = materialize(_in_few(docs).select(key, "terms").mapInArrow(run, schema), "cells")
     rare = fitted.table.join(frequent.select("term_idx"), "term_idx", "left_anti").select("term", F.col("term_idx").alias("at"), "idf")
     weighted = (cells.where("term_idx < 0").join(rare, "term")
                 .select(key, F.col("at").alias("term_idx"), (F.col("weight") * F.col("idf")).alias("weight")))
@@ -307,6 +356,7 @@ def fit_lsa(sparse: DataFrame, terms: int, dim: int, passes: int = 3, oversample
     once. A factor (terms x width) of up to ``local_bytes`` is sent to the tasks, and one basis of passes + 1
     factors at the end; beyond, the factor stays a table of term blocks (``factor.py``), iterated twice as
     often, and only width x width reaches the driver."""
+    sparse = _in_few(sparse)
     dim = max(1, min(dim, terms - 1))
     width = min(terms, dim + oversample)
     if terms * width * 8 > local_bytes:
@@ -328,6 +378,7 @@ def fit_lsa(sparse: DataFrame, terms: int, dim: int, passes: int = 3, oversample
 
 def lsa_scores(sparse: DataFrame, fitted: Lsa, key: str = "doc_id") -> DataFrame:
     """Documents on the latent axes, not normalised: (key, v array<double>)."""
+    sparse = _in_few(sparse)
     if isinstance(fitted.axes, BlockFactor):
         return score_blocks(sparse, fitted.axes, key)
     held = sparse.sparkSession.sparkContext.broadcast(fitted.axes)

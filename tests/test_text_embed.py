@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,20 @@ def test_no_cap_and_joined_weights(docs):
     assert local.keys() == joined.keys() == set(range(len(TEXTS)))
     for doc in local:
         assert local[doc][0] == joined[doc][0] and local[doc][1] == pytest.approx(joined[doc][1])
+
+
+def test_terms_are_counted_in_their_row(spark):
+    rows = [(1, ["b", "a", "b"]), (2, ["a"]), (2, ["a", "c"]), (None, ["a"]), (None, ["a", "a"]), (3, []), (4, None), (5, ["b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, terms array<string>")
+    want = docs.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    assert sorted(map(str, X.term_counts(docs).collect())) == sorted(map(str, want.collect()))
+    once = docs.where("doc_id in (1, 3, 5)")
+    assert sorted(map(tuple, X.term_counts(once).collect())) == [(1, "a", 1), (1, "b", 2), (5, "b", 1)]
+    assert "Aggregate" not in X.term_counts(once)._jdf.queryExecution().optimizedPlan().toString()  # no term moves
+
+
+def test_few_terms_are_held_at_once():
+    batch = pa.RecordBatch.from_arrays([pa.array([["a"] * n if n >= 0 else None for n in (3, 0, 2, -1, 9, 1, 1)])], names=["terms"])
+    parts = list(X._slices([batch], 4))
+    assert [p.num_rows for p in parts] == [2, 2, 1, 2]
+    assert sum((p.column("terms").to_pylist() for p in parts), []) == batch.column("terms").to_pylist()
