@@ -109,8 +109,7 @@ def doc_terms(spark, sf):
 
 @register(f"WITH {TERMS} SELECT doc_id, term, tf FROM tf")
 def token_ngrams(spark, sf):
-    return (doc_terms(spark, sf).select("doc_id", F.explode("terms").alias("term"))
-            .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
+    return X.term_counts(doc_terms(spark, sf))
 
 
 @register(f"WITH {TERMS} SELECT term, n, df FROM vocab")
