@@ -8,7 +8,7 @@ a document that is odd in one respect is not hidden by others that are odd in se
 of SAMPLE rows each. The rows of a tree are those with the smallest hash of tree and row over *all* documents
 that pass the fixed rules; a threshold on the hash lets about twice as many through, whatever the corpus.
 
-Thresholds are calibrated on labelled rows: at most LABELLED ones, those with the smallest hash, without the
+Thresholds are calibrated on all labelled rows, without the
 fifth that is held out for figures (crc32 of doc_id divisible by 5). The forest whose threshold saves most
 is taken first, then the next on what is left, until none saves anything; a rejected row of quality 1
 costs GOOD_COST, a kept one of quality 0 costs 1. A forest that saves nothing rejects nothing. Without
@@ -25,13 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, keep, mix, seq_hash, slices
 
 TREES, SAMPLE, DEPTH = 100, 256, 8
-LABELLED = 10_000
+STEPS = 4096  # equal parts of the scores, whose sums are added up first
 GOOD_COST = 10
 DEFAULT = 0.7
 LEAST_WORDS = 50
@@ -209,12 +209,17 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     model = Model(grow(drawn), [Steps(grow([x[:, [i]] for x in drawn], SEED + 1 + i)) for i in range(len(RATIOS))],
                   np.array([DEFAULT] + [np.inf] * len(RATIOS)))
     usable = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(
-        F.max("quality").alias("y"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    known = passing.join(F.broadcast(chosen), "doc_id").select("doc_id", *COUNTS, "y").distinct()
-    known = known.orderBy(F.xxhash64("doc_id", *COUNTS), "doc_id").limit(LABELLED).toArrow()
-    if known.num_rows:
-        model.threshold = calibrated(model.scores(_matrix(known)), known["y"].to_numpy())
+        F.max("quality").cast("long").alias("y"))
+    known = passing.join(usable, "doc_id").select("doc_id", *COUNTS, "y").distinct()
+    held, names = stats.sparkSession.sparkContext.broadcast(model), [f"s{i}" for i in range(len(RATIOS) + 1)]
+
+    def score(batches):
+        for batch in batches:
+            scores = held.value.scores(np.stack([batch.column(c).to_numpy() for c in COUNTS], 1))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in scores.T), batch.column("y")], [*names, "y"])
+
+    scored = known.select(*COUNTS, "y").mapInArrow(score, ", ".join(f"{c} double" for c in names) + ", y long")
+    model.threshold = calibrated(keep(scored, "scores"), names)
     return model
 
 
@@ -223,29 +228,38 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
 
 
-def best_cut(score: np.ndarray, y: np.ndarray) -> tuple[int, float]:
-    """(what it saves, threshold) of the threshold that saves most: a bad row above it saves 1, a good one costs
-    GOOD_COST. It lies half-way between scores; of equal ones the highest is taken."""
-    at, place = np.unique(score, return_inverse=True)
-    worth = np.bincount(place, np.where(y == 0, 1, np.where(y == 1, -GOOD_COST, 0)), len(at))
-    above = np.append(np.cumsum(worth[::-1])[::-1][1:], 0)  # saved by rejecting scores beyond at[i]
-    best = len(at) - 1 - int(np.argmax(above[::-1]))
-    return int(above[best]), float(np.inf if best == len(at) - 1 else (at[best] + at[best + 1]) / 2)
-
-
-def calibrated(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A threshold for each column of ``scores``; infinite where it saves nothing beyond those taken before."""
-    out = np.full(scores.shape[1], np.inf)
-    if not (y == 1).any() or not (y == 0).any():
+def best_cuts(scored: DataFrame, names: list[str]) -> dict[int, tuple[int, float]]:
+    """Of each of the columns ``names``, (what it saves, threshold) of the threshold that saves most: a bad row above it
+    saves 1, a good one costs GOOD_COST. It lies half-way between scores; of equal ones the highest is taken. Rows of equal
+    score are added up first, then the parts of the scores, so no window takes more than a part of the distinct ones."""
+    worth = F.when(F.col("y") == 0, 1).when(F.col("y") == 1, -GOOD_COST).otherwise(0)
+    cells = scored.select(worth.alias("w"), F.posexplode(F.array(*names)).alias("forest", "score"))
+    at = keep(cells.groupBy("forest", "score").agg(F.sum("w").alias("w")).withColumn("part", F.floor(F.col("score") * STEPS)), "cells")
+    down = Window.partitionBy("forest").orderBy(F.desc("part"))
+    parts = at.groupBy("forest", "part").agg(F.sum("w").alias("sum"), F.min("score").alias("low")).select(
+        "forest", "part", F.sum("sum").over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("over"),
+        F.lag("low").over(down).alias("next"))  # at most STEPS + 1 a forest
+    inside = Window.partitionBy("forest", "part").orderBy(F.desc("score"))
+    above = F.coalesce(F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.coalesce("over", F.lit(0))
+    cuts = at.join(F.broadcast(parts), ["forest", "part"]).select(
+        "forest", "score", above.alias("saved"), F.coalesce(F.lag("score").over(inside), "next").alias("next"))
+    best = cuts.groupBy("forest").agg(F.max(F.struct("saved", "score", "next")).alias("b")).select("forest", "b.*").collect()
+    return {r["forest"]: (r["saved"], np.inf if r["next"] is None else (r["score"] + r["next"]) / 2) for r in best}
+
+
+def calibrated(scored: DataFrame, names: list[str]) -> np.ndarray:
+    """A threshold for each of the columns ``names``; infinite where it saves nothing beyond those taken before."""
+    out = np.full(len(names), np.inf)
+    kinds = {r["y"] for r in scored.select("y").where("y in (0, 1)").distinct().collect()}
+    if kinds != {0, 1}:
         out[0] = DEFAULT
         return out
-    left = np.ones(len(y), bool)
-    while left.any():
-        saved, cut, column = max((*best_cut(scores[left, i], y[left]), -i) for i in range(len(out)))
+    while cuts := best_cuts(scored, names):
+        saved, cut, column = max((saved, cut, -i) for i, (saved, cut) in cuts.items())
         if saved <= 0:
             break
         out[-column] = min(out[-column], cut)
-        left &= scores[:, -column] <= out[-column]
+        scored = scored.where(F.col(names[-column]) <= F.lit(float(out[-column])))
     return out
 
 

@@ -3,7 +3,9 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from semspace.llm import rules
 from semspace.llm.common import documents, table
@@ -50,3 +52,46 @@ def test_verdict_is_of_the_rows_alone(spark, judged):
     docs = documents(spark, DIR).repartition(7, "lang")
     again = rules.judged(docs, table(spark, DIR, "labels").orderBy("quality"))
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in judged.collect()}
+
+
+def by_hand(scores, y):
+    """One threshold after the other, each the best over all rows that are left."""
+    out, left = [float("inf")] * len(scores[0]), list(range(len(y)))
+    while left:
+        best = None
+        for i in range(len(out)):
+            at = sorted({scores[r][i] for r in left})
+            for a, b in zip(at, [*at[1:], None], strict=True):
+                saved = sum({0: 1, 1: -rules.GOOD_COST}[y[r]] for r in left if scores[r][i] > a)
+                new = (saved, a, -i, float("inf") if b is None else (a + b) / 2)
+                if best is None or (saved, new[3], -i) > (best[0], best[3], best[2]):
+                    best = new
+        if best[0] <= 0:
+            return out
+        i, cut = -best[2], best[3]
+        out[i] = min(out[i], cut)
+        left = [r for r in left if scores[r][i] <= out[i]]
+    return out
+
+
+def test_thresholds_are_the_best_over_all_rows(spark):
+    rng = np.random.default_rng(4)
+    y = (rng.random(160) < 0.7).astype(int)
+    scores = np.round(rng.random((160, 3)) * 0.4 + 0.3 + 0.25 * (y == 0)[:, None] * (rng.random((160, 3)) < 0.4), 2)
+    rows = [(*map(float, s), int(q)) for s, q in zip(scores, y, strict=True)]
+    scored = spark.createDataFrame(rows, "s0 double, s1 double, s2 double, y long")
+    want = by_hand(scores.tolist(), y.tolist())
+    assert min(want) < 1
+    assert rules.calibrated(scored, ["s0", "s1", "s2"]).tolist() == want
+    assert rules.calibrated(scored.where("y = 1"), ["s0", "s1", "s2"]).tolist() == [rules.DEFAULT, np.inf, np.inf]
+
+
+def test_every_labelled_row_calibrates(spark, monkeypatch):
+    ids = spark.range(13_000).withColumnRenamed("id", "doc_id")
+    stats = ids.select("doc_id", *[(F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(50)) + 60 * (i == 0)).alias(c) for i, c in enumerate(rules.COUNTS)])
+    stats = stats.withColumn("n_repeat_words", F.lit(0).cast("long"))
+    seen = []
+    monkeypatch.setattr(rules, "calibrated", lambda scored, *a: seen.append(scored if isinstance(scored, np.ndarray) else scored.toArrow()) or np.zeros(8))
+    monkeypatch.setattr(rules, "TREES", 2)
+    rules.fit(stats, ids.select("doc_id", F.pmod("doc_id", F.lit(2)).alias("quality")))
+    assert len(seen[0]) == ids.where(~rules.held_out()).count() > 10_000
