@@ -189,3 +189,24 @@ def test_same_result_with_other_partitioning(spark, crowded):
     one, many = items.coalesce(1), items.repartition(8)
     a, b = (sorted(map(tuple, knn_graph(df, 3).collect())) for df in (one, many))
     assert a == b
+
+
+def test_best_by_blocks_in_single_precision():
+    from semspace.functions.arrow import unit_rows
+    from semspace.operators import blocks
+
+    rng = np.random.default_rng(8)
+    v = unit_rows(rng.standard_normal((2500, 5)))  # more than one block of columns
+    v[2300:2400] = v[:100]  # equal ones: the lower id
+    v[2400] = v[7] + 1e-8  # apart only in double precision
+    ids = np.arange(len(v)) * 3
+    q = np.concatenate([v[:150], unit_rows(rng.standard_normal((60, 5)))])
+    rows, banned = np.repeat(np.arange(60), 2), np.stack([ids[:60], ids[2300:2360]], 1).ravel()
+    banned = np.where(rng.random(120) < 0.5, banned, banned + 1)  # some of them are no items
+    scores = q @ v.T
+    blocks.mask_excluded(scores, ids, rows, banned)
+    at, value = blocks.best_in_single(q, v, v.astype(np.float32), ids, rows, banned)
+    want, worth = blocks.best_one(scores, blocks.COSINE_DIGITS)
+    assert at.tolist() == want.tolist() and np.allclose(value, worth, atol=2e-9)
+    one = blocks.best_in_single(q[:1], v[:1], v[:1].astype(np.float32), ids[:1], np.array([0]), ids[:1])
+    assert one[1].tolist() == [-np.inf]  # nothing is left
