@@ -4,8 +4,9 @@ Two exact ways. While the item vectors fit ``max_broadcast_bytes`` they are broa
 multiplies its query batches with them, emitting only the best ``k``.
 
 Beyond that items and queries both stay in bounded blocks around the same pivots (``blocks.py``), packed
-into tiles. A pair of blocks is one task: each vector moves once per pair of blocks, not once per query and
-block, and only a query's best ``k`` of the pair come out. First every query block meets the item blocks
+into tiles. Consecutive blocks form groups as large as a task's memory and the number of tasks allow; a pair of groups
+is one task: each vector moves once per pair of groups, whatever the size of a block, and only a query's best ``k`` of
+the pair come out. First every query block meets the item blocks
 nearest to it, which gives each query a k-th score; then it meets only the blocks that can still beat the
 worst of these scores, by the bound between two rings. Which pairs those are is decided from the table of
 blocks alone, before any vector moves.
@@ -62,6 +63,8 @@ class NearestIndex:
             share = max(256, -(-self.n // int(np.ceil(np.sqrt(PAIRS_PER_TASK * self.parallelism)))))
             self.block_rows = block_rows or max(1, min(share, BLOCK_BYTES // self.row_bytes))
             self.query_rows = query_rows or max(1, min(share, QUERY_BYTES // self.row_bytes))
+            self.group_rows = max(self.block_rows, min(share, BLOCK_BYTES // self.row_bytes))
+            self.query_group_rows = max(self.query_rows, min(share, QUERY_BYTES // self.row_bytes))
             most = max(1, min(MAX_PIVOTS, PIVOT_BYTES // self.row_bytes))
             self._build_blocks(items, pivots or min(most, 1 + self.n // self.block_rows))
         else:
@@ -194,10 +197,11 @@ class NearestIndex:
         return kernel, materialize(placed.groupBy("block").applyInArrow(pack, T.StructType(fields)), "tiles")
 
     def _pairs(self, own: AngleBlocks, worst: DataFrame | None, need: int, floor: float) -> DataFrame:
-        """(asked, block) pairs to visit: the nearest blocks that hold ``need`` items together, or, given
+        """(asked, block, ag, bg) pairs to visit and the groups of the two: the nearest blocks that hold ``need`` items together, or, given
         the (asked, worst) score of every query block, all others that can beat it."""
         items, mine = self.data, self.spark.sparkContext.broadcast(own)
         rest = worst is not None
+        asked_group, block_group = _groups(own.rows, self.query_group_rows), _groups(self.kernel.rows, self.group_rows)
 
         def run(incoming):
             kern, asking = items.value, mine.value
@@ -213,12 +217,14 @@ class NearestIndex:
                     else:
                         visit &= bound >= floor
                     block = np.flatnonzero(visit)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), asked)), pa.array(block)], names=["asked", "block"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(block), asked)), pa.array(block), pa.array(np.full(len(block), asked_group[asked])),
+                         pa.array(block_group[block])], names=["asked", "block", "ag", "bg"])
 
         blocks = self.spark.range(own.count()).select(F.col("id").alias("asked"))
         if rest:
             blocks = worst.select("asked", "worst")
-        return materialize(blocks.mapInArrow(run, "asked long, block long"), "pairs")
+        return materialize(blocks.mapInArrow(run, "asked long, block long, ag long, bg long"), "pairs")
 
     def _meet(self, asked: DataFrame, pairs: DataFrame, k: int, floor: float, id_type: T.DataType) -> DataFrame:
         """(asked, qid, idx, score): the best ``k`` of every query in every pair of blocks."""
@@ -228,46 +234,36 @@ class NearestIndex:
         single = self.source.schema["v"].dataType.elementType == T.FloatType()
 
         def search(key, queries: pa.Table, held: pa.Table) -> pa.Table:
-            kern, block = kernel.value, key[1].as_py()
-            tiles = [(np.asarray(ids), kern.prepare(_unpacked(v, len(ids), single))) for ids, v in zip(
-                _each(held["ids"]), held["v"].to_pylist(), strict=True)]
-            parts = []
+            kern = kernel.value
+            tiles = {}
+            for at, block in enumerate(held["block"].to_pylist()):
+                tiles.setdefault(block, []).append(at)
+            held_ids, held_v = _each(held["ids"]), held["v"]
+            asking = []
             for at, ids in enumerate(_each(queries["ids"])):
                 q = kern.prepare(_unpacked(queries["v"][at].as_py(), len(ids), queries["single"][at].as_py()))
-                bound = np.asarray(_each(queries["bound"])[at]) if has_bound else np.full(len(q), -np.inf)
-                able = np.flatnonzero(kern.query_bound(q, block) >= np.maximum(bound, floor))
-                ban_rows, banned = ragged(_each(queries["exclude"])[at]) if has_exclude else (np.empty(0, np.int64),) * 2
-                best = []
-                for item_ids, items in tiles:
-                    step = max(1, TASK_CELLS // max(1, len(item_ids)))
-                    for start in range(0, len(able), step):
-                        some = able[start: start + step]
-                        scores = kern.scores(q[some], items)
-                        if len(ban_rows):
-                            row_of = np.full(len(q), -1)
-                            row_of[some] = np.arange(len(some))
-                            mine = row_of[ban_rows] >= 0
-                            mask_excluded(scores, item_ids, row_of[ban_rows[mine]], banned[mine])
-                        rows, found, value, _ = best_k(scores, item_ids, k, floor, kern.digits)
-                        rows = some[rows]
-                        keep = value >= bound[rows]
-                        best.append((rows[keep], found[keep], value[keep]))
-                if not best:
-                    continue
-                rows, found, value = (np.concatenate(x) for x in zip(*best, strict=True))
-                order = np.lexsort((found, -value, rows))
-                rows, found, value = rows[order], found[order], value[order]
-                rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                rows, found, value = rows[rank < k], found[rank < k], value[rank < k]
-                parts.append(pa.table({"asked": pa.array(np.full(len(rows), key[0].as_py()), pa.int64()), "qid": ids.take(pa.array(rows)),
+                bound = np.array(_each(queries["bound"])[at]) if has_bound else np.full(len(q), -np.inf)
+                bans = ragged(_each(queries["exclude"])[at]) if has_exclude else (np.empty(0, np.int64),) * 2
+                none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                asking.append([set(queries["blocks"][at].as_py()), q, bound, *bans, none])
+            for block, places in tiles.items():
+                items = [(np.asarray(held_ids[at]), kern.prepare(_unpacked(held_v[at].as_py(), len(held_ids[at]), single))) for at in places]
+                for one in asking:
+                    if block in one[0]:
+                        one[5] = _best_of(kern, block, items, *one[1:], k, floor)
+            parts = []
+            for at, ids in enumerate(_each(queries["ids"])):
+                rows, found, value = asking[at][5]
+                parts.append(pa.table({"asked": pa.array(np.full(len(rows), queries["asked"][at].as_py()), pa.int64()), "qid": ids.take(pa.array(rows)),
                                        "idx": pa.array(found, pa.int64()), "score": pa.array(value, pa.float64())}))
             return pa.concat_tables(parts) if parts else pa.table(
                 {"asked": pa.array([], pa.int64()), "qid": pa.array([], queries["ids"].type.value_type),
                  "idx": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-        left = _beside(asked.withColumnRenamed("block", "asked"), pairs, "asked", "block")
-        right = _beside(self.tiles, pairs, "block", "asked")
-        found = left.groupBy("asked", "block").cogroup(right.groupBy("asked", "block")).applyInArrow(search, schema)
+        met = pairs.groupBy("asked", "ag", "bg").agg(F.collect_list("block").alias("blocks"))  # blocks of one group
+        left = _beside(asked.withColumnRenamed("block", "asked"), materialize(met, "met"), "asked", "bg")
+        right = _beside(self.tiles, materialize(pairs.select("block", "ag", "bg").distinct(), "met"), "block", "ag")
+        found = left.groupBy("ag", "bg").cogroup(right.groupBy("ag", "bg")).applyInArrow(search, schema)
         return materialize(found, "found")
 
     def _search_blocks(self, queries: DataFrame, qid: str, k: int, floor: float) -> DataFrame:
@@ -331,6 +327,41 @@ _RESULT_ARROW = [pa.field("idx", pa.int64()), pa.field("score", pa.float64()),
                  pa.field("rank", pa.int32())]
 
 
+def _groups(rows: np.ndarray, limit: int) -> np.ndarray:
+    """A group for each block: consecutive blocks of about ``limit`` rows together."""
+    return (np.cumsum(rows) - rows) // limit
+
+
+def _best_of(kern: AngleBlocks, block: int, tiles: list, q: np.ndarray, bound: np.ndarray, ban_rows: np.ndarray, banned: np.ndarray,
+             so_far: tuple, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score): the best ``k`` of every query among ``so_far`` and the items of a block; ``bound`` rises with them."""
+    able = np.flatnonzero(kern.query_bound(q, block) >= np.maximum(bound, floor))
+    best = [so_far]
+    for item_ids, items in tiles:
+        step = max(1, TASK_CELLS // max(1, len(item_ids)))
+        for start in range(0, len(able), step):
+            some = able[start: start + step]
+            scores = kern.scores(q[some], items)
+            if len(ban_rows):
+                row_of = np.full(len(q), -1)
+                row_of[some] = np.arange(len(some))
+                mine = row_of[ban_rows] >= 0
+                mask_excluded(scores, item_ids, row_of[ban_rows[mine]], banned[mine])
+            rows, found, value, _ = best_k(scores, item_ids, k, floor, kern.digits)
+            rows = some[rows]
+            keep = value >= bound[rows]
+            best.append((rows[keep], found[keep], value[keep]))
+    if len(best) == 1:
+        return so_far
+    rows, found, value = (np.concatenate(x) for x in zip(*best, strict=True))
+    order = np.lexsort((found, -value, rows))
+    rows, found, value = rows[order], found[order], value[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    full = rank == k - 1
+    bound[rows[full]] = np.maximum(bound[rows[full]], value[full])
+    return rows[rank < k], found[rank < k], value[rank < k]
+
+
 def _lists(parts: list[pa.Array]) -> pa.ListArray:
     """One list per array."""
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)

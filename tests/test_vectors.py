@@ -210,3 +210,25 @@ def test_best_by_blocks_in_single_precision():
     assert at.tolist() == want.tolist() and np.allclose(value, worth, atol=2e-9)
     one = blocks.best_in_single(q[:1], v[:1], v[:1].astype(np.float32), ids[:1], np.array([0]), ids[:1])
     assert one[1].tolist() == [-np.inf]  # nothing is left
+
+
+@pytest.mark.parametrize("rows", [None, 60])
+def test_blocks_move_by_groups(spark, monkeypatch, rows):
+    from semspace.operators import nearest as N
+
+    m = np.random.default_rng(9).standard_normal((400, 6))
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "idx long, v array<double>")
+    moved, beside, pairs = [], N._beside, NearestIndex._pairs
+    monkeypatch.setattr(N, "_beside", lambda t, p, *a: moved.append(p.count()) or beside(t, p, *a))
+    if rows:
+        def small(self, own, *a):
+            self.group_rows = self.query_group_rows = rows
+            return pairs(self, own, *a)
+        monkeypatch.setattr(NearestIndex, "_pairs", small)
+    got = knn_graph(items, 5, max_broadcast_bytes=0, block_rows=8, query_rows=8, pivots=20)
+    want = knn_graph(items, 5)
+    assert sorted((r.src, r.rank, r.dst) for r in got.collect()) == sorted((r.src, r.rank, r.dst) for r in want.collect())
+    blocks, groups = 400, 3 if not rows else 8  # at most one block an item; groups of 256 rows (or 60) and a block
+    assert max(moved) <= blocks * groups and sum(moved) > 0
+    if not rows:
+        assert max(moved) < 400  # pairs of single blocks are thousands
