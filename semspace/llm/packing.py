@@ -87,6 +87,7 @@ def encoded(docs: DataFrame, path: str, separator: int, source: str, named: dict
                     [batch.column(0).slice(lo, rows), pa.array(queue), pa.array(np.full(rows, part, np.int32)),
                      pa.array(start), pa.array(np.diff(offsets)), binary.cast(pa.binary())],
                     ["doc_id", "queue", "part", "start", "n", "ids"])
+        encoder(path).clear()  # the process goes on to other tasks
 
     return docs.select("doc_id", "text", source).mapInArrow(encode, schema)
 

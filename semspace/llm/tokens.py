@@ -17,7 +17,8 @@ import pyarrow as pa
 
 from .common import flat
 
-CACHE_WORDS = 600_000  # cached words of a process; beyond, the cache starts anew
+CACHE_BYTES = 32 << 20  # of the cached words of a process, about; beyond, the less used half of them goes
+WORD_BYTES = 120  # of the objects that hold one word
 TAKE_BYTES = 1 << 21
 
 _TAIL = b".,;:!?"
@@ -47,11 +48,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Codes(dict):
-    """word -> code; an unknown word gets the next code and is queued."""
+    """word -> code; an unknown word gets the next code and is queued. ``size``: about the bytes of the words learnt."""
 
     def __init__(self):
         super().__init__()
         self.new: list[bytes] = []
+        self.size = 0
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self)
@@ -71,7 +73,25 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.codes, self.stems, self.ids, self.ends = _Codes(), {}, array("I"), array("q", [0])
+        self.codes, self.ids, self.starts, self.sizes = _Codes(), array("I"), array("q"), array("q")
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Drop the less used half of the words."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2])
+        words, ids, starts, sizes, uses = list(self.codes), np.array(self.ids), np.array(self.starts), np.array(self.sizes), self.uses
+        self.clear()
+        for code, at in enumerate(kept.tolist()):
+            self.codes[words[at]] = code
+            self.codes.size += WORD_BYTES + len(words[at])
+        if self.codes.size > CACHE_BYTES // 4 * 3:  # long words
+            return self.clear()
+        sizes = sizes[kept]
+        ends = np.cumsum(sizes)
+        self.ids.frombytes(ids[np.repeat(starts[kept] - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes())
+        self.starts.frombytes((ends - sizes).tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+        self.uses = uses[kept] // 2
 
     def _stem(self, stem: bytes) -> list[int]:
         """Ids of one word."""
@@ -81,27 +101,35 @@ class WordEncoder:
             return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, low)))]
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _word(self, word: bytes) -> list[int]:
-        stem = word.rstrip(_TAIL)
-        if stem and len(stem) < len(word) and (chr(stem[-1]).isalnum() if stem[-1] < 128 else stem.decode()[-1].isalpha()):
-            parts = (stem, word[len(stem):])
-        else:
-            parts = (word,)
-        out: list[int] = []
-        for part in parts:
-            ids = self.stems.get(part)
-            if ids is None:
-                ids = self.stems[part] = self._stem(part)
-            out += ids
-        return out
+    def _learn(self) -> None:
+        """Ids of the queued words. A word with a trailing run has those of its two parts, which are words of their own."""
+        new, parts = self.codes.new, {}
+        for word in new:  # parts not met before are queued meanwhile
+            stem = word.rstrip(_TAIL)
+            if stem and len(stem) < len(word) and (chr(stem[-1]).isalnum() if stem[-1] < 128 else stem.decode()[-1].isalpha()):
+                parts[word] = [self.codes[stem], self.codes[word[len(stem):]]]
+        first = len(self.starts)
+        self.starts.frombytes(bytes(8 * len(new)))
+        self.sizes.frombytes(bytes(8 * len(new)))
+        for composed in (False, True):
+            for code, word in enumerate(new, first):
+                if (word in parts) == composed:
+                    self.starts[code] = len(self.ids)
+                    for part in parts.get(word, ()):
+                        self.ids.extend(self.ids[self.starts[part]: self.starts[part] + self.sizes[part]])
+                    if not composed:
+                        self.ids.extend(self._stem(word))
+                    self.sizes[code] = len(self.ids) - self.starts[code]
+        self.codes.size += WORD_BYTES * len(new) + sum(map(len, new))
+        self.codes.new = []
 
     def rows(self, column: pa.Array):
         """(first row, ids of several rows as uint32, their offsets), until all rows of ``column`` are done."""
         data, offsets = flat(column)
         whole, lo, n = data.tobytes(), 0, len(offsets) - 1
         while lo < n:
-            if len(self.codes) > CACHE_WORDS:
-                self.clear()
+            if self.codes.size > CACHE_BYTES:
+                self._forget()
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + TAKE_BYTES, "right")) - 1)
             codes, counts = [], np.zeros(hi - lo + 1, np.int64)
             for i in range(lo, hi):
@@ -109,16 +137,13 @@ class WordEncoder:
                 words = (text if b"<|" in text else text.lower()).split()
                 codes.extend(map(self.codes.__getitem__, words))
                 counts[i - lo + 1] = len(codes)
-            for word in self.codes.new:
-                self.ids.extend(self._word(word))
-                self.ends.append(len(self.ids))
-            self.codes.new = []
-            ends = np.frombuffer(self.ends, np.int64)
+            self._learn()
             code = np.array(codes, np.int64)
-            lengths = ends[code + 1] - ends[code]
+            starts, sizes, known = np.array(self.starts), np.array(self.sizes), np.array(self.ids)
+            self.uses = np.bincount(code, minlength=len(sizes)) + np.append(self.uses, np.zeros(len(sizes) - len(self.uses), np.int64))
+            lengths = sizes[code]
             total = np.concatenate([[0], np.cumsum(lengths)])
-            at = np.repeat(ends[code] - total[:-1], lengths) + np.arange(total[-1])
-            ids = np.frombuffer(self.ids, np.uint32)[at] if len(at) else np.empty(0, np.uint32)
-            del ends
+            at = np.repeat(starts[code] - total[:-1], lengths) + np.arange(total[-1])
+            ids = known[at] if len(at) else np.empty(0, np.uint32)
             yield lo, ids, total[counts]
             lo = hi
