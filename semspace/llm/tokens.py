@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from .common import flat
 
-CACHE_BYTES = 32 << 20  # of the cached words of a process, about; beyond, the less used half of them goes
+CACHE_BYTES = 72 << 20  # of the cached words of a process, about; beyond, the less used half of them goes
 WORD_BYTES = 120  # of the objects that hold one word
 TAKE_BYTES = 1 << 21
 
