@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from semspace.operators import compose as M
 from semspace.operators import explore as X
+from semspace.operators.blocks import best_one
 from semspace.operators.nearest import NearestIndex
 from semspace.plans import craft, project
 
@@ -115,6 +116,53 @@ def test_settled_items_are_not_searched_again(spark, monkeypatch, cells):
     assert done.reached == len(v) and min(left) > 0  # no round once everything is reached
 
 
+@pytest.mark.parametrize("together", [(256, 32), (7, 3)])
+def test_first_hits_equal_those_of_all_scores(monkeypatch, together):
+    monkeypatch.setattr(M, "ROWS_TOGETHER", together[0])
+    monkeypatch.setattr(M, "ANCHORS_TOGETHER", together[1])
+    rng = np.random.default_rng(12)
+    v = unit(rng.standard_normal((3000, 6)))  # more than one block of columns
+    v[2900:2950] = v[:50]  # equal ones: the lower id
+    v[2950] = v[7] + 1e-8  # apart only in double precision
+    v[2951] = -v[40]
+    ids = np.arange(len(v)) * 3 + 1
+    own = rng.permutation(len(v))[:40]
+    own[0], own[1] = 40, 2951
+    item = np.concatenate([[2951, 40], rng.permutation(len(v))[:8]])
+    kinds = np.concatenate([[0, 0], np.ones(len(item), int)])
+    anchors = np.concatenate([rng.standard_normal((2, 6)) * 5, v[item]])  # seeds need not be of unit length
+    anchor_ids = np.concatenate([[0, 1], ids[item]])
+    done = rng.random(len(v)) < 0.6
+    want = {}
+    for j, a in enumerate(anchors):
+        scores = unit(unit(v[own] + a)) @ v.T
+        scores[np.arange(len(own)), own] = -np.inf
+        if kinds[j]:
+            scores[:, item[j - 2]] = -np.inf
+        for at, hit in enumerate(best_one(scores, 9)[0]):
+            if not done[hit]:
+                want.setdefault(int(ids[hit]), ((5 + j << M.ORDER_BITS) + at, int(ids[own[at]]), int(kinds[j]), int(anchor_ids[j])))
+    got = M._first_hits(ids[own], np.arange(len(own)), (ids, v), (anchors, kinds, anchor_ids), 5, done).to_pylist()
+    assert {r["item_idx"]: (r["key"], r["a_idx"], r["b_kind"], r["b_idx"]) for r in got} == want
+
+
+@pytest.mark.parametrize("cells", [None, 100_000])
+def test_rounds_write_no_tables_where_items_are_in_every_task(spark, monkeypatch, cells):
+    v, r = unit(np.random.default_rng(3).standard_normal((40, 6))), unit(np.random.default_rng(6).standard_normal((3, 6)))
+    if cells:
+        monkeypatch.setattr(M, "HERE_CELLS", 0)  # every round in tasks, a few anchors a run
+        monkeypatch.setattr(M, "RUN_CELLS", cells)
+    written, jobs, write, tasks = [], [], M.materialize, M._hits_in_tasks
+    monkeypatch.setattr(M, "materialize", lambda df, name="table": written.append(name) or write(df, name))
+    monkeypatch.setattr(M, "_hits_in_tasks", lambda *a: jobs.append(a[2]) or tasks(*a))
+    done = M.reach_closure(frame(spark, v, "item_idx"), frame(spark, r, "seed_idx"))
+    got = {row["item_idx"]: (row["a_kind"], row["a_idx"], row["b_kind"], row["b_idx"])
+           for row in done.recipes.where("a_kind is not null").collect()}
+    assert got == model_closure(v, r)
+    assert done.rounds > 2 and set(written) == {"universe", "anchors"}  # was one table and some jobs a round
+    assert len(jobs) > done.rounds if cells else not jobs
+
+
 def test_unreachable_items_are_reported(spark):
     v = unit(np.array([[1, 0.0], [1, 0.1], [1, -0.1], [-1, 0.0]]))  # nothing points away from the seed
     done = M.reach_closure(frame(spark, v, "item_idx"), frame(spark, np.array([[1.0, 0.0]]), "seed_idx"))
