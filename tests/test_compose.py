@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from semspace.operators import compose as M
 from semspace.operators import explore as X
+from semspace.operators import nearest as N
 from semspace.operators.blocks import best_one
 from semspace.operators.nearest import NearestIndex
 from semspace.plans import craft, project
@@ -206,6 +207,39 @@ def test_combine_excludes_item_inputs_only(spark, hot_rows):
                    for i, (a, b) in enumerate(asked)}
 
 
+@pytest.mark.parametrize("index", [{}, {"max_broadcast_bytes": 0}])
+def test_pairs_in_slices_and_shares_of_bounded_size(spark, monkeypatch, index):
+    rng = np.random.default_rng(14)
+    v, r = unit(rng.standard_normal((300, 4))), unit(rng.standard_normal((2, 4)))
+    v[290:] = v[:10]  # equal ones, in other shares
+    v[20] = -v[30]
+    items, seeds = frame(spark, v, "item_idx"), frame(spark, r, "seed_idx")
+    keys = [f"i{i}" for i in range(300)] + ["r0", "r1", "i999", None]
+    asked = [(keys[i], keys[j]) for i, j in rng.integers(0, 304, (400, 2))] + [("i7", f"i{j}") for j in range(290)] + [("i20", "i30")]
+    pairs = spark.createDataFrame([(f"p{i}", *p) for i, p in enumerate(asked + asked[:5])], "pair_id string, a_key string, b_key string")
+    monkeypatch.setattr(M, "SLICE_PAIRS", 200)
+    monkeypatch.setattr(M, "CELL_PAIRS", 60)
+    monkeypatch.setattr(M, "CHUNK_PAIRS", 64)
+    monkeypatch.setattr(N, "SHARE_BYTES", 3000)  # four shares
+    made, gone, write, drop = [], [], M.materialize, M.discard
+    monkeypatch.setattr(M, "materialize", lambda df, name="table": made.append(name) or write(df, name))
+    monkeypatch.setattr(M, "discard", lambda *t: gone.extend(t) or drop(*t))
+    found = M.combine_pairs(pairs, M.elements(seeds, items), NearestIndex(items.withColumnRenamed("item_idx", "idx"), **index))
+    got = {row["pair_id"]: (row["result_idx"], row["score"]) for row in found.collect()}
+
+    def vec(key):
+        return (r if key[0] == "r" else v)[int(key[1:])]
+
+    want = {}
+    for i, (a, b) in enumerate(asked + asked[:5]):
+        if a and b and "i999" not in (a, b):
+            at = nearest(v, vec(a) + vec(b), [int(k[1:]) for k in (a, b) if k[0] == "i"])
+            want[f"p{i}"] = at, pytest.approx(float(unit(vec(a) + vec(b)) @ v[at]), abs=5e-9)
+    assert got == want
+    slices = made.count("chunks")
+    assert slices == 4 and len(gone) >= slices  # vectors of a quarter of the pairs at once; was those of all
+
+
 def test_memo_answers_each_unordered_pair_once(spark):
     v = unit(RNG.standard_normal((12, 3)))
     items = frame(spark, v, "item_idx")
