@@ -59,6 +59,7 @@ def write_flat(docs: DataFrame, folder: str, path: str, separator: int = SEPARAT
                         batch.column(0).slice(lo, rows), pa.array(np.arange(ordinal, ordinal + rows)), pa.array(ends)],
                         ["file", "width", "doc_id", "ordinal", "ids"])
                     ordinal, total = ordinal + rows, total + len(ids)
+        tokenizer.clear()  # the process goes on to other tasks
 
     return docs.select("doc_id", "text").mapInArrow(write, "file string, width int, doc_id long, ordinal long, ids long")
 

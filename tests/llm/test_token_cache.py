@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from semspace.llm import packing, tokens
+from semspace.llm import packing, separators, tokens
 
 
 def test_forgotten_words_are_encoded_again(monkeypatch):
@@ -34,3 +34,16 @@ def test_a_worker_keeps_no_words_after_a_task(spark):
 
     rows = spark.range(64).repartition(16).mapInArrow(held, T.StructType([T.StructField("n", T.IntegerType())])).collect()
     assert rows and all(row.n == 0 for row in rows)
+
+
+def test_the_separator_scan_keeps_no_words_after_a_task(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words, {i}") for i in range(40)], "doc_id long, text string")
+    separators.write_flat(docs, str(tmp_path), tokens.default_path()).collect()
+
+    def held(batches):
+        for batch in batches:
+            words = [len(e.codes) for (_, literal), e in tokens._encoders.items() if literal]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32())], ["n"])
+
+    rows = spark.range(64).repartition(16).mapInArrow(held, T.StructType([T.StructField("n", T.IntegerType())])).collect()
+    assert rows and all(row.n == 0 for row in rows)
